@@ -29,7 +29,10 @@ def observations(items: DataFrame, labels: dict[str, str]) -> DataFrame:
     position, seq, score, url, provenance.
     """
     keyed = with_artifact_key(items, "artifact")
-    names = lambda c: F.filter(F.transform(strings(F.col(c)), F.trim), lambda x: x != "")
+
+    def names(column: str) -> Column:
+        return F.filter(F.transform(strings(F.col(column)), lambda x: F.trim(x)), lambda x: x != "")
+
     found = F.concat(
         F.array(
             _observation(

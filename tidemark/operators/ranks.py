@@ -29,7 +29,8 @@ def _bucketed(df: DataFrame, key: Column) -> DataFrame:
         .select(F.array_distinct(F.filter(picked, lambda b: b.isNotNull())).alias("_bounds"))
         .scalar()
     )
-    return keyed.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    placed = F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col("_key")))
+    return keyed.withColumn("_bounds", bounds).withColumn("_bucket", placed).drop("_bounds")
 
 
 def with_global_rank(df: DataFrame, key: Column, out: str = "rank") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import has_any
+from ..functions.arrays import has_any, strings
 from .match import label_of
 
 
@@ -60,13 +60,14 @@ def all_value_counts(df: DataFrame, facets: dict[str, str], by: Sequence[str] =
 
 def _facet_pairs(df: DataFrame, facets: dict[str, str]) -> list[Column]:
     types = dict(df.dtypes)
-    pairs = []
-    for facet, col in facets.items():
-        values = F.coalesce(F.col(col), F.array().cast("array<string>")) if types[col].startswith("array") else F.array(
-            F.col(col).cast("string")
-        )
-        pairs.append(F.transform(values, lambda v, f=facet: F.struct(F.lit(f).alias("facet"), v.alias("value"))))
-    return pairs
+
+    def tagged(facet: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+
+    return [
+        tagged(facet, strings(F.col(col)) if types[col].startswith("array") else F.array(F.col(col).cast("string")))
+        for facet, col in facets.items()
+    ]
 
 
 def _numbered_dates(df: DataFrame) -> DataFrame:
