@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import squash as text
 from ..sources import feeds, markdown
 from . import views as v
 from .views import NOW, RULES
@@ -220,24 +221,21 @@ def s7_scholar_records(spark, sf):
 SELECT 'W' || doc_id AS source_id, title, sha256({_cut('flat', 1400)}) AS summary_hash, 'Ada' AS authors, 'Uni ' || lang || '|Lab' AS organizations,
   source AS venue FROM docs WHERE title <> ''""")
 def s8_works_records(spark, sf):
-    words = F.split(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")), " ")
-    # Word -> positions of one text, by positions of its distinct words.
-    index = F.map_from_entries(
-        F.transform(
-            F.array_distinct(words),
-            lambda w: F.struct(w.alias("k"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()).alias("v")),
-        )
-    )
+    docs = _docs(spark, sf)
+    words = docs.select("doc_id", F.posexplode(F.split(text(F.col("text")), " ")).alias("at", "word"))
+    # Groups are one text's words: (text, word) first, then the map of the text.
+    placed = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
     named = lambda c: F.struct(c.alias("display_name"))
     work = F.struct(
         F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")).alias("id"), F.col("title").alias("display_name"),
-        index.alias("abstract_inverted_index"),
+        F.col("index").alias("abstract_inverted_index"),
         F.array(
             F.struct(named(F.lit("Ada")).alias("author"), F.array(named(F.concat(F.lit("Uni "), "lang")), named(F.lit("Lab")), named(F.lit("Lab"))).alias("institutions"))
         ).alias("authorships"),
         F.struct(named(F.col("source")).alias("source")).alias("primary_location"),
     )
-    payloads = _payloads(_docs(spark, sf), F.to_json(F.struct(F.array(work).alias("results"))), query=F.lit("q"))
+    payloads = _payloads(docs.join(index, "doc_id"), F.to_json(F.struct(F.array(work).alias("results"))), query=F.lit("q"))
     records = feeds.works_records(payloads, _now())
     return records.select(
         "source_id", "title", F.sha2("summary", 256).alias("summary_hash"), F.array_join("authors", "|").alias("authors"),
@@ -248,9 +246,8 @@ def s8_works_records(spark, sf):
 @query("""
 SELECT 'part/' || p_partkey AS origin, p_name AS title, 'https://parts.example.org/' || p_partkey AS url,
   CASE WHEN p_partkey % 2 = 0 THEN '2024-01-15' ELSE '2024-03-01' END AS published_at, p_brand AS organizations,
-  'Kind: ' || p_type AS summary, p_type || ' > ' || p_brand AS section, 'https://code.example.org/' || p_partkey AS artifact_urls,
-  CASE WHEN contains(lower(p_type), 'economy') THEN 'license' || CASE WHEN contains(lower(p_brand), 'brand#1') THEN '|lang_en' ELSE '' END
-       WHEN contains(lower(p_brand), 'brand#1') THEN 'lang_en|license' ELSE '' END AS hint_categories
+  'Kind: ' || p_type AS summary, p_type || ' > ' || replace(p_brand, '#', '') AS section, 'https://code.example.org/' || p_partkey AS artifact_urls,
+  CASE WHEN contains(lower(p_type), 'economy') THEN 'license' ELSE '' END AS hint_categories
 FROM part""")
 def s9_markdown_records(spark, sf):
     """One small list per part: heading levels, a fenced table, a row without a link."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clean_metrics
-from ..functions.dates import age_hours, date_format_name, day_key, parse_datetime
+from ..functions.dates import age_hours, day_key, parsed_date
 from ..functions.text import normalize, slug, strip_markdown
 from ..functions.urls import canonical_url, host_name, html_links
 from ..functions.cells import informative, publisher_parts
@@ -112,10 +112,8 @@ def n5_date_formats(spark, sf):
     spelled = F.lit("Undisclosed")
     for i, (fmt, _) in enumerate(_SPELLINGS):
         spelled = F.when(F.col("o_orderkey") % 9 == i, F.date_format("o_orderdate", fmt)).otherwise(spelled)
-    parsed = orders.select(spelled.alias("raw")).select(
-        F.coalesce(date_format_name(F.col("raw")), F.lit("unreadable")).alias("format"),
-        day_key(parse_datetime(F.col("raw"))).alias("day"),
-    )
+    read = orders.select(spelled.alias("raw")).select(parsed_date(F.col("raw")).alias("read"))
+    parsed = read.select(F.coalesce("read.format", F.lit("unreadable")).alias("format"), day_key(F.col("read.value")).alias("day"))
     return parsed.groupBy("format").agg(
         F.count("*").alias("dates"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
     )

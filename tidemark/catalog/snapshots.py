@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as cat
 from ..operators import documents, graph, listing, quality, rollup, select
 from ..plans import scan
-from ..plans.storage import scratch
+from ..plans.storage import cut, scratch
 from ..sources import registry, snapshots
 from . import views as v
 from .views import CATALOGUE_SQL, NOW, RULES, SINGLE_SQL, sql_canonical, sql_matched, sql_slug
@@ -31,6 +31,11 @@ def _items(spark, sf):
     return staged.where("stage = 'qualified'").drop("stage")
 
 
+def _stored_items(spark, sf):
+    """Items without their prose, written once for queries that read them several times."""
+    return cut(_items(spark, sf).drop("summary", "facets", "metrics"))
+
+
 def _health(spark, sf):
     """Health of (scan, source): a source with exactly two records that day counts as failed."""
     counts = v.records(spark, sf).groupBy("scan_date", "source").agg(F.count("*").alias("item_count"))
@@ -84,7 +89,7 @@ days AS (
 
 @query(f"WITH {ITEMS_SQL}, {_DAYS_SQL} SELECT * FROM rolled")
 def a1_day_rollup(spark, sf):
-    return rollup.day_rollup(_items(spark, sf), _health(spark, sf))
+    return rollup.day_rollup(_stored_items(spark, sf), _health(spark, sf))
 
 
 _VALUES_SQL = """
@@ -118,12 +123,12 @@ trends AS (
 
 @query(f"WITH {ITEMS_SQL}, {_TRENDS_SQL} SELECT * FROM trends")
 def a3_category_trends(spark, sf):
-    return rollup.category_trends(_items(spark, sf))
+    return rollup.category_trends(_stored_items(spark, sf))
 
 
 @query(f"WITH {ITEMS_SQL}, {_TRENDS_SQL} SELECT scan_date, category, delta FROM trends WHERE comparable AND delta <> 0")
 def j7_previous_scan(spark, sf):
-    trends = rollup.category_trends(_items(spark, sf))
+    trends = rollup.category_trends(_stored_items(spark, sf))
     return trends.where("comparable and delta <> 0").select("scan_date", "category", "delta")
 
 
@@ -157,7 +162,7 @@ SELECT category, {_LABEL.format(c='category')} AS label, CAST(coalesce(sum(n) FI
   CAST(sum(n) AS BIGINT) AS total, (SELECT max(age) > 7 FROM ages) AS comparable
 FROM cat_counts JOIN ages USING (scan_date) GROUP BY 1""")
 def a8_velocity(spark, sf):
-    return rollup.velocity(_items(spark, sf), RULES.labels)
+    return rollup.velocity(_stored_items(spark, sf), RULES.labels)
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT o AS label, count(*) AS count FROM (SELECT unnest(organizations) AS o FROM items)
@@ -206,7 +211,7 @@ SELECT scan_date, item_count, pinned_count, coalesce(top_sources, '—') AS top_
   coalesce(fetched, 0) || ' → ' || coalesce(published, 0) AS flow, sources_ok || '/' || sources_total || ' ok' AS health
 FROM rolled LEFT JOIN src USING (scan_date) LEFT JOIN top USING (scan_date) LEFT JOIN funnels USING (scan_date)""")
 def a20_ledger(spark, sf):
-    return rollup.ledger(_items(spark, sf), _funnels(spark, sf), _health(spark, sf), RULES.labels)
+    return rollup.ledger(_stored_items(spark, sf), _funnels(spark, sf), _health(spark, sf), RULES.labels)
 
 
 @query(f"""WITH {ITEMS_SQL}
@@ -266,7 +271,7 @@ def t4_top_categories(spark, sf):
     greatest(count(*) OVER (PARTITION BY scan_date, section_kind) - 10, 0) AS remaining FROM tagged)
 SELECT scan_date, section_kind, rank, source_id, total_score, remaining FROM placed WHERE rank <= 10""")
 def t7_digest(spark, sf):
-    top = rollup.digest(_items(spark, sf), 10)
+    top = rollup.digest(_stored_items(spark, sf), 10)
     return top.select("scan_date", "section_kind", F.col("rank").cast("bigint").alias("rank"), "source_id", "total_score", "remaining")
 
 
@@ -311,7 +316,7 @@ UNION ALL SELECT 'edge', source, target, weight, NULL FROM edges WHERE source IN
 UNION ALL SELECT 'artifact_count', '', '', count(*), NULL FROM nodes WHERE kind = 'artifact'
 UNION ALL SELECT 'days', '', '', count(DISTINCT scan_date), NULL FROM items""")
 def a12_build_graph(spark, sf):
-    nodes, edges, summary = graph.build_graph(_items(spark, sf), RULES.labels, 50)
+    nodes, edges, summary = graph.build_graph(_stored_items(spark, sf), RULES.labels, 50)
     none = F.lit(None).cast("double")
     blank = F.lit("")
     return (
@@ -330,7 +335,7 @@ def a13_neighbours(spark, sf):
 @query(f"""WITH {ITEMS_SQL}, {_OBS_SQL}, few AS (SELECT id FROM nodes WHERE observations >= 3)
 SELECT * FROM edges WHERE source IN (SELECT id FROM few) AND target IN (SELECT id FROM few)""")
 def j8_retain_edges(spark, sf):
-    items = _items(spark, sf)
+    items = _stored_items(spark, sf)
     nodes = graph.graph_nodes(items, RULES.labels).where("observations >= 3")
     return graph.retain_edges(graph.graph_edges(items, RULES.labels), nodes)
 

@@ -70,4 +70,4 @@ def publisher_parts(title: Column) -> tuple[Column, Column]:
     return name, F.when(is_publisher, note).otherwise(F.lit(""))
 
 
-SPACES_AT_END = UNICODE_SPACE.replace("(?U)", "") + r"*$"
+SPACES_AT_END = UNICODE_SPACE + r"*$"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # The accepted non-ISO shapes, tried in this order. Each has a guard because
 # Spark patterns are more lenient about surrounding text than the shapes are meant to be.
 FORMATS = (
@@ -76,6 +78,19 @@ def _candidates(text: Column) -> list[tuple[str, Column]]:
     return found
 
 
+def _named(name: str):
+    return lambda v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("format"), v.alias("value")))
+
+
+def parsed_date(text: Column) -> Column:
+    """``struct<format, value>`` of a string date of any accepted shape; NULL when unreadable."""
+    return F.coalesce(
+        *[
+            let(value, _named(name)) for name, value in _candidates(text)
+        ]
+    )
+
+
 def parse_datetime(text: Column) -> Column:
     """String date of any accepted shape to a UTC timestamp; NULL when unreadable.
 
@@ -84,11 +99,6 @@ def parse_datetime(text: Column) -> Column:
     return F.coalesce(*[value for _, value in _candidates(text)])
 
 
-def date_format_name(text: Column) -> Column:
-    """Which accepted shape a string date has; NULL when unreadable."""
-    return F.coalesce(*[F.when(value.isNotNull(), F.lit(name)) for name, value in _candidates(text)])
-
-
 def age_hours(now: Column, moment: Column) -> Column:
     """Hours from ``moment`` to ``now``, never negative."""
     return F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", moment, now) / F.lit(3.6e9))

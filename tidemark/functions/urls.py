@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Fixed value: query parameters that never identify a page.
 TRACKING_PARAMS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
@@ -32,31 +34,33 @@ def canonical_url(url: Column) -> Column:
     """
     trimmed = F.btrim(F.coalesce(url, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
     source = F.translate(trimmed, "\t\r\n", "")
-    scheme, host, path, query = (F.regexp_extract(source, _PARTS, i) for i in range(1, 5))
-
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p.rlike(r"(?s)^[^=]*=.")),
-        lambda p: F.struct(
-            _decode(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"),
-            _decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
-        ),
-    )
-    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
-    tail = F.array_join(
-        F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
-    )
-    clean_path = F.rtrim(path, F.lit("/"))
-    clean_path = F.when(clean_path == "", F.lit("/")).otherwise(clean_path)
-    location = F.when(host != "", F.concat(F.lit("//"), F.lower(host), clean_path)).when(
-        clean_path.startswith("/") & F.lower(scheme).isin("http", "https", "ftp", "file"),
-        F.concat(F.lit("//"), clean_path),
-    ).otherwise(clean_path)
-    full = F.concat(
-        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(F.lit("")),
-        location,
-        F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")),
-    )
-    return F.when((scheme == "") & (host == ""), trimmed).otherwise(full)
+    names = ("scheme", "host", "path", "query")
+    parts = F.struct(*[F.regexp_extract(source, _PARTS, i).alias(n) for i, n in enumerate(names, 1)])
+
+    def rebuilt(url_parts: Column) -> Column:
+        scheme, host, path, query = (url_parts[n] for n in names)
+        pairs = F.transform(
+            F.filter(F.split(query, "&"), lambda p: p.rlike(r"(?s)^[^=]*=.")),
+            lambda p: F.struct(
+                _decode(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"),
+                _decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
+            ),
+        )
+        kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_PARAMS))
+        encoded = F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"])))
+        tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(encoded, "&"))).otherwise(F.lit(""))
+        bare = F.rtrim(path, F.lit("/"))
+        clean_path = F.when(bare == "", F.lit("/")).otherwise(bare)
+        rooted = clean_path.startswith("/") & F.lower(scheme).isin("http", "https", "ftp", "file")
+        location = (
+            F.when(host != "", F.concat(F.lit("//"), F.lower(host), clean_path))
+            .when(rooted, F.concat(F.lit("//"), clean_path))
+            .otherwise(clean_path)
+        )
+        prefix = F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(F.lit(""))
+        return F.when((scheme == "") & (host == ""), trimmed).otherwise(F.concat(prefix, location, tail))
+
+    return let(parts, rebuilt)
 
 
 def host_name(url: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import strings
+from ..functions.arrays import let, strings
 from ..functions.text import normalize, slug
 from ..functions.urls import canonical_url
 
@@ -23,11 +23,13 @@ def digest(*parts: Column) -> Column:
 
 
 def dedupe_key(title: Column, url: Column, identity: Column) -> Column:
-    folded = normalize(title)
-    canonical = canonical_url(url)
-    by_url = digest(F.lit("url"), F.when(canonical != "", canonical).otherwise(identity))
-    long_enough = F.length(F.replace(folded, F.lit(" "), F.lit(""))) >= MIN_TITLE_KEY
-    return F.when(long_enough, digest(F.lit("title"), folded)).otherwise(by_url)
+    by_url = let(canonical_url(url), lambda c: digest(F.lit("url"), F.when(c != "", c).otherwise(identity)))
+
+    def by_title(folded: Column) -> Column:
+        long_enough = F.length(F.replace(folded, F.lit(" "), F.lit(""))) >= MIN_TITLE_KEY
+        return F.when(long_enough, digest(F.lit("title"), folded)).otherwise(by_url)
+
+    return let(normalize(title), by_title)
 
 
 def with_dedupe_key(df: DataFrame, out: str = "dedupe_key") -> DataFrame:
