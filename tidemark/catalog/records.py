@@ -61,7 +61,37 @@ def n2_slug_collisions(spark, sf):
     return keyed.groupBy("slug").agg(F.count("*").alias("records"), F.countDistinct("title").alias("titles"))
 
 
-@query()
+_COLLAPSE = "trim(regexp_replace({x}, '[\\s\\x0B\\x1c-\\x1f]+', ' ', 'g'), ' -*|#>' || chr(9))"
+
+
+def _sql_summary(expr: str, limit: int) -> str:
+    """CTEs from ``raw(source, x)`` to ``cut(source, summary)``."""
+    body = expr
+    for pattern, replacement in (
+        ("(?s)\\A---\\s*\\n.*?\\n---\\s*\\n", ""), ("(?s)<!--.*?-->", " "), ("(?s)```.*?```", " "), ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),
+        ("\\[([^\\]]*)\\]\\(([^)]*)\\)", "\\1"), ("<[^>]+>", " "), ("`([^`]*)`", "\\1"), ("(?m)^\\s{0,3}#{1,6}\\s*", ""), ("(\\*\\*|__|\\*|_)", ""),
+    ):
+        body = f"regexp_replace({body}, '{pattern}', '{replacement}', 'g')"
+    clean = lambda x: _COLLAPSE.replace("{x}", x)
+    return f"""
+bodies AS (SELECT source, {body} AS b FROM raw),
+pieces AS (
+  SELECT source, b, list_filter(list_transform(string_split(b, chr(10) || chr(10)), lambda p: {clean('p')}),
+    lambda p: length(p) >= 40 AND length(p) - length(replace(p, '|', '')) <= 3) AS ps FROM bodies),
+taken AS (
+  SELECT source, b, array_to_string(list_filter(ps, lambda p, i: coalesce(list_sum(list_transform(ps[1:i - 1], lambda q: length(q))), 0) <= {limit}), ' ') AS j FROM pieces),
+filled AS (
+  SELECT source, CASE WHEN j <> '' THEN j WHEN length({clean('b')}) >= 40 THEN {clean('b')} ELSE '' END AS f FROM taken),
+cut AS (
+  SELECT source, CASE WHEN length(f) <= {limit} THEN f ELSE rtrim(regexp_replace(substring(f, 1, {limit}), ' [^ ]*$', ''), ' ,;:.') || '...' END AS summary FROM filled)"""
+
+
+@query(f"""WITH raw AS (
+  SELECT source, text AS x FROM documents
+  UNION ALL SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '^www\\.', ''), html FROM pages
+), {_sql_summary('x', 900)}
+SELECT source, count(*) AS texts, round(avg(CASE WHEN summary = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS empty_share,
+  round(avg(length(summary)), 3) AS mean_length, max(length(summary)) AS longest FROM cut GROUP BY 1""")
 def n3_markdown_summaries(spark, sf):
     """Share of empty summaries and mean summary length per source, from whole page texts."""
     v.utc(spark)
@@ -74,7 +104,7 @@ def n3_markdown_summaries(spark, sf):
         F.count("*").alias("texts"),
         F.round(F.avg((F.col("summary") == "").cast("double")), 6).alias("empty_share"),
         F.round(F.avg(F.length("summary")), 3).alias("mean_length"),
-        F.max(F.length("summary")).alias("longest"),
+        F.max(F.length("summary")).cast("bigint").alias("longest"),
     )
 
 

@@ -499,9 +499,20 @@ def s10_s11_snapshot_round_trip(spark, sf):
     return stored.groupBy("scan_date").agg(F.count("*").alias("items"), F.round(F.sum("total_score"), 2).alias("score_sum"))
 
 
-@query()
+_BACKFILL_KEYED = v.KEYED_SQL.replace("keyed AS (", "all_keyed AS (") + """,
+keyed AS (SELECT * REPLACE (scan_date || dedupe_key AS dedupe_key) FROM all_keyed WHERE provenance = 'curated')"""
+_BACKFILL_SQL = (
+    v.RECORDS_SQL + "," + _BACKFILL_KEYED + "," + v.SCAN_SQL.split(v.KEYED_SQL + ",")[1]
+    .replace(f"TIMESTAMP '{NOW}'", "CAST(scan_date AS TIMESTAMP)")
+    .replace("PARTITION BY source ORDER", "PARTITION BY scan_date, source ORDER")
+)
+
+
+@query(f"""WITH {_BACKFILL_SQL}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY scan_date ORDER BY pinned DESC, total_score DESC, published_at DESC, position) AS rank FROM capped)
+SELECT scan_date, source, source_id, total_score, rank FROM placed WHERE rank <= 400""")
 def backfill_reports(spark, sf):
     """Curated records replayed per report date, each scored as of its own date."""
     curated = v.records(spark, sf).where("provenance = 'curated'")
     published, _ = scan.run_backfill(curated, RULES, selection=v.SELECT)
-    return published.select("scan_date", "source", "source_id", "total_score", "rank")
+    return published.select("scan_date", "source", "source_id", "total_score", F.col("rank").cast("bigint").alias("rank"))
