@@ -105,7 +105,8 @@ def test_evidence_and_undated_midwindow(spark):
         record(3, published_at=hours_ago(-5)),
     ]
     got = {r["position"]: r for r in score_table(merge_input(spark, rows), RULES, now()).collect()}
-    assert [got[i]["evidence_score"] for i in range(4)] == [17.0, 34 + 18 + 8 + 10 + 24 + 10, 34 + 18 + 10, 44.0]
+    # The second row earns 104 points and is clamped.
+    assert [got[i]["evidence_score"] for i in range(4)] == [17.0, 100.0, 34 + 18 + 10, 44.0]
     assert [got[i]["recency_score"] for i in range(4)] == [50.0, 75.0, 50.0, 100.0]
 
 

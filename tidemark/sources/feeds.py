@@ -195,7 +195,7 @@ def hub_records(
     freshest = records.orderBy(F.desc_nulls_last(newest), "position").limit(card_limit).select("source_id")
     prose = cards.select(F.col("repo_id").alias("source_id"), strip_markdown(F.col("body"), CARD_LIMIT).alias("_card"))
     # At most card_limit rows are joined back.
-    chosen = prose.join(F.broadcast(freshest), "source_id", "left_semi").dropDuplicates(["source_id"])
+    chosen = prose.join(freshest, "source_id", "left_semi").dropDuplicates(["source_id"])
     joined = records.join(chosen, "source_id", "left")
     return joined.withColumn("summary", F.coalesce("_card", "summary")).select(*records.columns)
 
