@@ -4,7 +4,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedupe, graph, ranks, rollup
-from tidemark.operators.documents import group_sizes, neighbour_docs, sorted_tags
+from tidemark.operators.skew import join_counts
+from tidemark.operators.documents import group_by_array, group_sizes, neighbour_docs, sorted_tags
 
 from .helpers import hours_ago, record, records
 
@@ -60,6 +61,17 @@ def test_merge_equals_brute_force_with_a_hot_key(spark):
         assert got == expected
 
 
+def test_join_counts_with_few_hot_keys_equals_plain_join(spark):
+    rng = random.Random(9)
+    rows = [(i, 0 if rng.random() < 0.5 else rng.randrange(40)) for i in range(2000)]
+    left = spark.createDataFrame(rows, "i int, k int")
+    counts = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 3 = 0")
+    for how in ("inner", "left_semi"):
+        got = join_counts(left, counts, "k", "n", ["i"], how, hot_keys=2, salts=7)
+        want = left.join(counts, "k", how)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_short_titles_key_on_url(spark):
     rows = [
         record(0, title="Short", url="https://x.org/a?utm_source=q"), record(1, title="Other", url="https://X.org/a/"),
@@ -173,4 +185,6 @@ def test_global_rank_and_neighbours_with_ties(spark):
 def test_document_lists(spark):
     df = spark.createDataFrame([(1, ["b", "A", "a"]), (2, ["A", "A"])], "id int, tags array<string>")
     assert [tuple(r) for r in group_sizes(df, "tags").collect()] == [("A", 2), ("a", 1), ("b", 1)]
+    groups = group_by_array(df, "tags", ["id"]).select("group_name", "id", "group_size").collect()
+    assert sorted(map(tuple, groups)) == [("A", 1, 2), ("A", 2, 2), ("a", 1, 1), ("b", 1, 1)]
     assert sorted_tags(df, "tags").where("id = 1").first()["sorted_tags"] == ["A", "a", "b"]

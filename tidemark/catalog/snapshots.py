@@ -417,7 +417,7 @@ def _posts(spark, sf):
 WITH long AS (SELECT DISTINCT doc_id, unnest([source, lang, upper(lang)]) AS group_name FROM documents)
 SELECT doc_id, group_name, count(*) OVER (PARTITION BY group_name) AS group_size FROM long""")
 def g1_group_by_array(spark, sf):
-    return documents.group_by_array(_posts(spark, sf), "tags").select("doc_id", "group_name", "group_size")
+    return documents.group_by_array(_posts(spark, sf), "tags", ["doc_id"]).select("doc_id", "group_name", "group_size")
 
 
 @query("""

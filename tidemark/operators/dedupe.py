@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let, strings
 from ..functions.text import normalize, slug
 from ..functions.urls import canonical_url
+from .skew import join_counts
 
 # Fixed value: a title needs this many characters, spaces aside, to identify a record.
 MIN_TITLE_KEY = 24
@@ -63,7 +64,8 @@ def merge_duplicates(
 
     No group is ever gathered row by row: survivors come from a combinable ``min_by``, and what
     copies add is reduced to distinct values per key before it is collected. Only keys that
-    repeat take the second path; they are found on an 8-byte hash whose collisions are harmless.
+    repeat take the second path; they are found on an 8-byte hash whose collisions are harmless,
+    and the most frequent ones are salted.
     """
     keys = [*by, key]
     filled = ("summary", "venue", "section")
@@ -77,7 +79,7 @@ def merge_duplicates(
     )
 
     hashed = keyed.withColumn("_hash", F.xxhash64(*keys))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1")
     lists = {"org": "organizations", "author": "authors", "hint": "hint_categories"}
 
     def tagged(field: str, values: Column) -> Column:
@@ -98,7 +100,7 @@ def merge_duplicates(
         ),
     )
     added = (
-        hashed.join(repeated, "_hash", "left_semi")
+        join_counts(hashed, repeated, "_hash", "_n", [position], "left_semi")
         .select(*keys, "_order", F.posexplode(entries).alias("_at", "_entry"))
         .select(*keys, "_order", "_at", "_entry.*")
         .groupBy(*keys, "field", "value")

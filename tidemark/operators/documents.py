@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import reading_minutes
 from .ranks import with_neighbours
+from .skew import join_counts
 
 
-def group_by_array(df: DataFrame, col: str, name: str = "group_name") -> DataFrame:
+def group_by_array(df: DataFrame, col: str, id_cols: list[str], name: str = "group_name") -> DataFrame:
     """One row per (array value, document) with the size of the value's group.
 
-    Groups stay rows: a value that most documents carry is never gathered into one list.
+    Groups stay rows: a value that most documents carry is never gathered into one list, and its
+    rows are spread by ``id_cols`` when the sizes are joined.
     """
     long = df.withColumn(name, F.explode(F.array_distinct(col)))
     sizes = long.groupBy(name).agg(F.count("*").alias("group_size"))
-    return long.join(sizes, name)
+    return join_counts(long, sizes, name, "group_size", id_cols)
 
 
 def group_sizes(df: DataFrame, col: str, name: str = "group_name") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import slug
 from .dedupe import with_artifact_key
 from .match import label_of
 from .score import round2
+from .skew import join_counts
 
 
 def _observation(kind: str, node_id: Column, label: Column, relation: str | None) -> Column:
@@ -102,11 +103,15 @@ def graph_edges(items: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def retain_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose both ends are among ``nodes``."""
+    """Edges whose both ends are among ``nodes``.
+
+    A context node may end most edges, so targets are joined with their frequencies.
+    """
     ids = nodes.select("id")
-    return edges.join(ids, edges["source"] == ids["id"], "left_semi").join(
-        ids, edges["target"] == ids["id"], "left_semi"
-    )
+    from_kept = edges.join(ids, edges["source"] == ids["id"], "left_semi")
+    targets = edges.groupBy("target").agg(F.count("*").alias("_n"))
+    kept_targets = targets.join(ids, targets["target"] == ids["id"], "left_semi")
+    return join_counts(from_kept, kept_targets, "target", "_n", ["source", "relation"], "left_semi")
 
 
 def top_artifacts(nodes: DataFrame, limit: int = 240) -> DataFrame:

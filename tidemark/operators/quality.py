@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 from ..functions.arrays import has_any
 
 
-def boilerplate(df: DataFrame, threshold: int = 4, min_length: int = 60) -> DataFrame:
+def boilerplate(
+    df: DataFrame, threshold: int = 4, min_length: int = 60, id_cols: Sequence[str] = ("source", "source_id")
+) -> DataFrame:
     """Summaries of ``min_length`` characters or more that ``threshold`` records share.
 
-    Hashes are counted first, so the shuffle carries 32 bytes per record; full texts move only
-    for the hashes that repeat.
+    Hashes are counted first with one example record each, so the shuffle carries no texts; the
+    text is then fetched for the example of every repeated hash alone.
     """
     trimmed = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?U)^\s+|\s+\z", "")
-    long = df.select(trimmed.alias("summary")).where(F.length("summary") >= min_length)
+    long = df.select(*id_cols, trimmed.alias("summary")).where(F.length("summary") >= min_length)
     hashed = long.withColumn("_hash", F.unhex(F.sha2(F.col("summary").cast("binary"), 256)))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("records")).where(F.col("records") >= threshold)
-    texts = hashed.join(repeated.select("_hash"), "_hash", "left_semi").groupBy("_hash").agg(F.min("summary").alias("summary"))
-    return texts.join(repeated, "_hash").select("summary", "records")
+    repeated = (
+        hashed.groupBy("_hash")
+        .agg(F.count("*").alias("records"), F.min(F.struct(*id_cols)).alias("_example"))
+        .where(F.col("records") >= threshold)
+        .select("_hash", "records", "_example.*")
+    )
+    examples = hashed.join(repeated, [*id_cols, "_hash"])
+    return examples.dropDuplicates(["_hash"]).select("summary", "records")
 
 
 def validate_snapshot(items: DataFrame, required: Sequence[str] = ("source", "source_id", "title", "url", "total_score")) -> DataFrame:

@@ -83,7 +83,8 @@ def category_trends(items: DataFrame, scans: DataFrame | None = None) -> DataFra
     """
     counts = value_counts(items, "categories").withColumnRenamed("value", "category")
     numbered = _numbered_dates(items if scans is None else scans)
-    current = counts.join(numbered, "scan_date").select("scan_no", "category", "count")
+    # The date table has one row per calendar day at most.
+    current = counts.join(F.broadcast(numbered), "scan_date").select("scan_no", "category", "count")
     previous = current.select((F.col("scan_no") + 1).alias("scan_no"), "category", F.col("count").alias("baseline"))
     both = current.join(previous, ["scan_no", "category"], "full")
     # The inner join drops the baselines that follow the last scan.
@@ -136,7 +137,8 @@ def velocity(items: DataFrame, labels: dict[str, str], window: int = 7) -> DataF
     """
     counts = value_counts(items, "categories").withColumnRenamed("value", "category")
     days = counts.select("scan_date").distinct().withColumn("_age", F.row_number().over(W.orderBy(F.desc("scan_date"))))
-    aged = counts.join(days, "scan_date")
+    # One row per calendar day at most.
+    aged = counts.join(F.broadcast(days), "scan_date")
     recent = F.coalesce(F.sum(F.when(F.col("_age") <= window, F.col("count"))), F.lit(0))
     prior = F.coalesce(F.sum(F.when(F.col("_age").between(window + 1, 2 * window), F.col("count"))), F.lit(0))
     spans = days.agg((F.max("_age") > window).alias("comparable")).scalar()

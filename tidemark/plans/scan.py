@@ -84,7 +84,8 @@ def run_backfill(
     todo = entries
     if snapshots is not None:
         wanted = missing_dates(entries, snapshots, overwrite=overwrite)
-        todo = entries.join(wanted, "scan_date", "left_semi")
+        # One row per calendar day at most.
+        todo = entries.join(F.broadcast(wanted), "scan_date", "left_semi")
     merged = merge_duplicates(todo, by=("scan_date",))
     scored = cut(score_table(merged, rules, F.col("scan_date").cast("timestamp"), scoring))
     published = select_records(scored, selection, by=("scan_date",))
