@@ -47,7 +47,7 @@ docs AS (
 
 def _docs(spark, sf) -> DataFrame:
     v.utc(spark)
-    documents, events = v.table(spark, sf, "documents"), v.table(spark, sf, "events")
+    documents, events = v.text_table(spark, sf, "documents"), v.table(spark, sf, "events")
     n = events.agg(F.count("*").alias("n")).scalar()
     joined = documents.withColumn("event_id", (F.col("doc_id") * 37) % n).join(events.select("event_id", "ts", "value"), "event_id")
     return joined.select(
@@ -252,7 +252,7 @@ FROM part""")
 def s9_markdown_records(spark, sf):
     """One small list per part: heading levels, a fenced table, a row without a link."""
     v.utc(spark)
-    part = v.table(spark, sf, "part")
+    part = v.text_table(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     text = F.concat(
         F.lit("# Title\n\n## Old\n\n## "), F.col("p_type"), F.lit("\n\n### "), F.col("p_brand"),

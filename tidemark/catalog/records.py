@@ -48,7 +48,7 @@ SELECT sha256({sql_normalize('text')}) AS text_hash, count(*) AS documents, min(
 FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def n1_duplicate_texts(spark, sf):
     folded = normalize(F.col("text"))
-    hashed = v.table(spark, sf, "documents").select("doc_id", F.sha2(folded, 256).alias("text_hash"))
+    hashed = v.text_table(spark, sf, "documents").select("doc_id", F.sha2(folded, 256).alias("text_hash"))
     groups = hashed.groupBy("text_hash").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
     return groups.where("documents > 1")
 
@@ -95,8 +95,8 @@ SELECT source, count(*) AS texts, round(avg(CASE WHEN summary = '' THEN 1.0::DOU
 def n3_markdown_summaries(spark, sf):
     """Share of empty summaries and mean summary length per source, from whole page texts."""
     v.utc(spark)
-    docs = v.table(spark, sf, "documents").select("source", strip_markdown(F.col("text"), 900).alias("summary"))
-    pages = v.table(spark, sf, "pages").select(
+    docs = v.text_table(spark, sf, "documents").select("source", strip_markdown(F.col("text"), 900).alias("summary"))
+    pages = v.text_table(spark, sf, "pages").select(
         host_name(F.col("url")).alias("source"), strip_markdown(F.col("html"), 900).alias("summary")
     )
     both = docs.unionByName(pages)

@@ -14,6 +14,7 @@ from ..operators.match import match_records
 from ..operators.score import score_records
 from ..operators.select import SelectConfig, select_records
 from ..functions.text import match_text, raw_text
+from ..plans.storage import spread_small
 from ..rules import RuleSet
 
 NOW = "2024-01-31 00:00:00"
@@ -49,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to work on."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def utc(spark: SparkSession) -> None:
     """String dates and day keys are UTC; the session zone has to say so."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -60,7 +66,7 @@ def now():
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     utc(spark)
-    documents, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    documents, events = text_table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     n_events = events.agg(F.count("*").alias("n")).scalar()
     n_pages = pages.agg(F.count("*").alias("n")).scalar()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -37,24 +38,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sql_text(value: str | None) -> str:
-    """A string as a SQL literal."""
-    if value is None:
-        return "CAST(NULL AS STRING)"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def constant(value, schema: str) -> Column:
+    """Python data as one constant of the plan.
 
-
-def sql_array(values: Iterable[str]) -> str:
-    return "CAST(array(" + ", ".join(map(sql_text, values)) + ") AS ARRAY<STRING>)"
+    A JSON literal is folded once by the optimizer; a tree of literals would be analysed again
+    by every following DataFrame call.
+    """
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
 
 
 def literal_map(table: Mapping[str, str]) -> Column:
     """A small string map as a constant."""
-    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items()) + ")")
+    return constant(dict(table), "map<string,string>")
 
 
 def literal_strings(values: Iterable[str]) -> Column:
-    return F.expr(sql_array(values))
+    return constant(list(values), "array<string>")
 
 
 def computed(df: DataFrame, row: Column, names: Iterable[str]) -> DataFrame:

@@ -100,8 +100,9 @@ def parse_datetime(text: Column) -> Column:
 
 
 def age_hours(now: Column, moment: Column) -> Column:
-    """Hours from ``moment`` to ``now``, never negative."""
-    return F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", moment, now) / F.lit(3.6e9))
+    """Hours from ``moment`` to ``now``, never negative; NULL without a moment."""
+    hours = F.timestamp_diff("MICROSECOND", moment, now) / F.lit(3.6e9)
+    return F.when(hours < 0, F.lit(0.0)).otherwise(hours)
 
 
 def day_key(moment: Column) -> Column:

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import (
-    computed, empty_strings, let, literal_map, literal_strings, ordered_union, sql_array, sql_text, strings,
+    computed, constant, empty_strings, let, literal_map, literal_strings, ordered_union, strings,
 )
 from ..functions.text import normalize, title_case
 from ..rules import INFLECTIONS, NO_ANCHOR_REASON, LowValueRule, RuleSet, guide_tokens, term_pattern
 
+_RULE = "array<struct<kind:string,ord:int,name:string,term:string,guides:array<string>,pattern:string>>"
 _HIT = "array<struct<kind:string,ord:int,name:string,term:string>>"
 
 
@@ -39,11 +40,9 @@ def rule_hits(text: Column, rules: RuleSet) -> Column:
     for kind, ordinal, name, term in rows:
         tokens, enough = guide_tokens(term)
         guides.update(tokens)
-        specs.append(
-            f"named_struct('kind', {sql_text(kind)}, 'ord', {ordinal}, 'name', {sql_text(name)}, 'term', {sql_text(term)}, "
-            f"'guides', {sql_array(tokens)}, 'pattern', {sql_text(None if enough else term_pattern(term))})"
-        )
-    table = F.expr(f"array({', '.join(specs)})")
+        pattern = None if enough else term_pattern(term)
+        specs.append({"kind": kind, "ord": ordinal, "name": name, "term": term, "guides": tokens, "pattern": pattern})
+    table = constant(specs, _RULE)
     known = literal_strings(sorted(guides))
 
     def matched(present: Column) -> Column:
@@ -217,10 +216,8 @@ def heading_categories(trail: Column, rules: RuleSet) -> Column:
     """Categories of every heading rule whose needle occurs in a heading trail, in rule order."""
     if not rules.heading_categories:
         return empty_strings()
-    rows = [
-        f"named_struct('needle', {sql_text(n)}, 'keys', {sql_array(k)})" for n, k in rules.heading_categories
-    ]
-    table = F.expr(f"array({', '.join(rows)})")
+    rows = [{"needle": needle, "keys": keys} for needle, keys in rules.heading_categories]
+    table = constant(rows, "array<struct<needle:string,keys:array<string>>>")
     return let(
         normalize(trail),
         lambda text: F.array_distinct(

@@ -30,3 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+# Below this estimated size a shuffle costs less than the parallelism it gives.
+SMALL_BYTES = 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores, because one row group is read by one task.
+
+    Large tables come in enough splits and pass through without a shuffle.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
