@@ -1,8 +1,5 @@
 import random
-import re
-import unicodedata
 import urllib.parse
-from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F

@@ -9,7 +9,7 @@ from tidemark.plans.scan import score_table
 from tidemark.operators.dedupe import merge_duplicates
 from tidemark.rules import NO_ANCHOR_REASON, RuleSet, guide_tokens
 
-from .helpers import NOW, hours_ago, now, record, records, values
+from .helpers import hours_ago, now, record, records, values
 
 CONFIG = {
     "domain": {"anchors": ["vlm", "vision language", "visual", "vit"]},

@@ -10,7 +10,6 @@ from ..functions.text import normalize, slug, strip_markdown
 from ..functions.urls import canonical_url, host_name, html_links
 from ..functions.cells import informative, publisher_parts
 from ..operators import dedupe, match, quality, score, select
-from ..rules import RuleSet
 from . import views as v
 from .views import NOW, RECORDS_SQL, SCAN_SQL, SELECT, SINGLE_SQL, sql_canonical, sql_normalize, sql_slug
 

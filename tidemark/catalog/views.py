@@ -396,9 +396,3 @@ catalogue AS (
          p_type AS section_title, p_brand AS subsection, p_partkey AS position
   FROM part
 )"""
-
-
-def with_scan_columns(items: DataFrame) -> DataFrame:
-    """Items with the columns of a stored snapshot."""
-    columns = [c for c in items.columns if c not in ("match_text", "raw_text")]
-    return items.select(*columns)

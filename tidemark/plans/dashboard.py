@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalogue, graph, rollup
+from ..operators import catalogue, graph, rollup, select
 from ..rules import RuleSet
 
 COUNTED = {
@@ -27,7 +27,7 @@ def dashboard(
         "facets": rollup.facets(items),
         "totals": rollup.totals(items),
         "ledger": rollup.ledger(items, funnels, health, rules.labels),
-        "funnel": rollup_funnel(funnels),
+        "funnel": select.funnel_rollup(funnels),
         "graph_nodes": nodes,
         "graph_edges": edges,
         "graph_summary": summary,
@@ -45,12 +45,6 @@ def dashboard(
     return tables
 
 
-def rollup_funnel(funnels: DataFrame) -> DataFrame:
-    from ..operators.select import funnel_rollup
-
-    return funnel_rollup(funnels)
-
-
 def write_dashboard(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     """One folder per table, replaced as a whole."""
     for name, table in tables.items():

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import strings
 from ..functions.dates import hours_before
 from ..functions.text import match_text, raw_text
 from ..operators.dedupe import merge_duplicates
@@ -90,10 +89,3 @@ def run_backfill(
     scored = cut(score_table(merged, rules, F.col("scan_date").cast("timestamp"), scoring))
     published = select_records(scored, selection, by=("scan_date",))
     return published, funnel(scored, selection, by=("scan_date",))
-
-
-def with_missing_columns(df: DataFrame) -> DataFrame:
-    """Record columns that a mapping may leave out, as empty values."""
-    for c in ("corroborating_sources", "hint_categories", "organizations", "authors", "artifact_urls"):
-        df = df.withColumn(c, strings(F.col(c)) if c in df.columns else F.array().cast("array<string>"))
-    return df

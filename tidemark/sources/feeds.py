@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import hours_before, parse_datetime
-from ..functions.text import UNICODE_SPACE, strip_markdown, truncate
+from ..functions.text import strip_markdown, truncate
 from ..functions.urls import owner_of
 from ..operators.dedupe import first_by
 from .records import blank_to_null, facet_map, metric_map, one, position_in_payload, text, to_records
