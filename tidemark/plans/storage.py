@@ -1,4 +1,4 @@
-"""Where jobs may cut lineage or keep intermediate tables."""
+"""Where jobs may keep intermediate tables."""
 
 from __future__ import annotations
 
@@ -8,15 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set(SETTING, folder)
-    return folder
+    """The folder named in ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a temporary folder serves a session whose executors are threads of this
+    process, as in tests. On a cluster such a folder would lose rows, so there it is an error.
+    """
+    folder = spark.conf.get(SETTING, None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {SETTING} to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _LOCAL[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,22 +33,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a reliable checkpoint, so later jobs neither recompute nor lose them."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-# Below this estimated size a shuffle costs less than the parallelism it gives.
-SMALL_BYTES = 1 << 30
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder.
 
+    Later jobs neither recompute nor lose them, and read only the columns they need. The table
+    belongs to the owner of the folder, who removes it with the folder.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Rows of a small table over all cores, because one row group is read by one task.
 
-    Large tables come in enough splits and pass through without a shuffle.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+def cut(df: DataFrame) -> DataFrame:
+    """``stored`` under the name that the scan uses for its steps."""
+    return stored(df, "step")
