@@ -142,11 +142,3 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     return measured.withColumns({"base_failed": base, "failed_rules": failed}).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )
-
-
-def filter_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that keep the rules, with their own columns."""
-    names = without(df, list(RESULTS))
-    if len(names) < len(df.columns):
-        raise ValueError(f"columns with the name of a measure: {set(df.columns) - set(names)}")
-    return apply_rules(df.withColumn("_text", F.col(quoted(text))), "_text", rules).where("kept").select(*[F.col(quoted(c)) for c in names])
