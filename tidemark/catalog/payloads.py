@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squash as text
 from ..sources import feeds, markdown
 from . import views as v
+from .records import sql_summary
 from .views import NOW, RULES
 
 QUERIES, ORACLES = {}, {}
@@ -30,12 +31,6 @@ def _squash(x: str) -> str:
     return SQL_SQUASH.replace("{x}", x)
 
 
-def _cut(x: str, limit: int) -> str:
-    return (
-        f"CASE WHEN length({x}) <= {limit} THEN {x} ELSE rtrim(regexp_replace(substring({x}, 1, {limit}), ' [^ ]*$', ''), ' ,;:.') || '...' END"
-    )
-
-
 # Documents with the fields that payloads are written from.
 DOCS_SQL = f"""
 docs AS (
@@ -78,7 +73,7 @@ _KIND = "CASE doc_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'cross' WHEN 2 THEN 'repl
 
 @query(f"""WITH {DOCS_SQL}
 SELECT paper AS source_id, title, 'https://arxiv.org/abs/' || paper AS url, {_DAY} AS published_at,
-  sha256({_cut('flat', 1400)}) AS summary_hash, 'Ada ' || lang || '|Bob|Eve' AS authors,
+  sha256(flat) AS summary_hash, 'Ada ' || lang || '|Bob|Eve' AS authors,
   CASE doc_id % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'cross-listed' ELSE 'updated' END AS event_kind,
   'https://arxiv.org/pdf/' || paper AS artifact_urls FROM docs WHERE title <> ''""")
 def s1_rss_records(spark, sf):
@@ -98,7 +93,7 @@ def s1_rss_records(spark, sf):
 
 
 @query(f"""WITH {DOCS_SQL}
-SELECT paper AS source_id, title, {_DAY} AS published_at, sha256({_cut('flat', 1400)}) AS summary_hash, 'Ada|Bob ' || lang AS authors,
+SELECT paper AS source_id, title, {_DAY} AS published_at, sha256(flat) AS summary_hash, 'Ada|Bob ' || lang AS authors,
   CASE WHEN doc_id % 2 = 0 THEN 'updated' ELSE 'published' END AS event_kind, 'https://arxiv.org/pdf/' || paper AS artifact_urls
 FROM docs WHERE title <> ''""")
 def s2_atom_records(spark, sf):
@@ -121,11 +116,13 @@ def s2_atom_records(spark, sf):
 
 
 @query(f"""WITH {DOCS_SQL}, repos AS (
-  SELECT 'org' || (doc_id % 5) || '/' || source || '-' || (doc_id // 2) AS id, min(doc_id) AS doc_id FROM docs GROUP BY 1)
-SELECT r.id AS source_id, 'https://huggingface.co/datasets/' || r.id AS url, {_DAY} AS published_at,
+  SELECT 'org' || (doc_id % 5) || '/' || source || '-' || (doc_id // 2) AS id, min(doc_id) AS doc_id FROM docs GROUP BY 1),
+raw AS (SELECT 'org' || (doc_id % 5) || '/' || source || '-' || (doc_id // 2) AS source, text AS x FROM docs), {sql_summary('x')},
+prose AS (SELECT source AS id, min(summary) AS card FROM summaries GROUP BY 1)
+SELECT sha256(card) AS summary_hash, r.id AS source_id, 'https://huggingface.co/datasets/' || r.id AS url, {_DAY} AS published_at,
   CASE WHEN date_trunc('second', d.ts) >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR THEN 'published' ELSE 'updated' END AS event_kind,
   'org' || (d.doc_id % 5) AS organizations, CASE WHEN d.value > 0 THEN round(d.value, 2) END AS downloads, 'mit' AS license, lang || '|a' AS tags
-FROM repos r JOIN docs d ON d.doc_id = r.doc_id""")
+FROM repos r JOIN docs d ON d.doc_id = r.doc_id JOIN prose p ON p.id = r.id""")
 def s3_hub_records(spark, sf):
     repo_id = F.concat(F.lit("org"), (F.col("doc_id") % 5).cast("string"), F.lit("/"), "source", F.lit("-"), F.floor(F.col("doc_id") / 2).cast("string"))
     repo = F.struct(
@@ -135,8 +132,9 @@ def s3_hub_records(spark, sf):
     docs = _docs(spark, sf)
     payloads = _payloads(docs, F.to_json(F.array(repo)), query=F.lit("vqa"))
     cards = docs.select(repo_id.alias("repo_id"), F.col("text").alias("body"))
-    records = feeds.hub_records(payloads, _now(), "datasets", cards, card_limit=10)
+    records = feeds.hub_records(payloads, _now(), "datasets", cards)
     return records.select(
+        F.sha2("summary", 256).alias("summary_hash"),
         "source_id", "url", _day(), "event_kind", F.array_join("organizations", "|").alias("organizations"),
         F.round(F.try_element_at("metrics", F.lit("downloads")), 2).alias("downloads"),
         F.array_join(F.try_element_at("facets", F.lit("license")), "|").alias("license"),
@@ -145,7 +143,7 @@ def s3_hub_records(spark, sf):
 
 
 @query(f"""WITH {DOCS_SQL}
-SELECT paper AS source_id, title, {_DAY} AS published_at, sha256(substring(flat, 1, 1400)) AS summary_hash, 'Ada|Bob' AS authors,
+SELECT paper AS source_id, title, {_DAY} AS published_at, sha256(flat) AS summary_hash, 'Ada|Bob' AS authors,
   CASE WHEN value > 0 THEN round(value, 2) END AS upvotes, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3)::DOUBLE END AS comments FROM docs WHERE title <> ''""")
 def s4_paper_records(spark, sf):
     paper = F.struct(
@@ -163,7 +161,7 @@ def s4_paper_records(spark, sf):
 
 
 @query(f"""WITH {DOCS_SQL}
-SELECT 'me/' || source || '-' || doc_id AS source_id, sha256({_cut('flat', 700)}) AS summary_hash, lang AS organizations,
+SELECT 'me/' || source || '-' || doc_id AS source_id, sha256(flat) AS summary_hash, lang AS organizations,
   'https://github.com/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '|https://home.example.org' ELSE '' END AS artifact_urls,
   CASE WHEN doc_id > 0 THEN doc_id::DOUBLE END AS stars, {_DAY} AS published_at FROM docs""")
 def s5_repo_records(spark, sf):
@@ -200,7 +198,7 @@ def s6_release_records(spark, sf):
 
 @query(f"""WITH {DOCS_SQL}
 SELECT 'p' || doc_id AS source_id, title, CASE WHEN doc_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE '2023-01-01' END AS published_at,
-  sha256({_cut('flat', 1400)}) AS summary_hash, 'https://arxiv.org/abs/' || paper || '|https://doi.org/10.5555/' || doc_id AS artifact_urls,
+  sha256(flat) AS summary_hash, 'https://arxiv.org/abs/' || paper || '|https://doi.org/10.5555/' || doc_id AS artifact_urls,
   'https://arxiv.org/abs/' || paper AS url, source AS venue, CASE WHEN doc_id > 0 THEN doc_id::DOUBLE END AS citations FROM docs WHERE title <> ''""")
 def s7_scholar_records(spark, sf):
     paper = F.struct(
@@ -218,7 +216,7 @@ def s7_scholar_records(spark, sf):
 
 
 @query(f"""WITH {DOCS_SQL}
-SELECT 'W' || doc_id AS source_id, title, sha256({_cut('flat', 1400)}) AS summary_hash, 'Ada' AS authors, 'Uni ' || lang || '|Lab' AS organizations,
+SELECT 'W' || doc_id AS source_id, title, sha256(flat) AS summary_hash, 'Ada' AS authors, 'Uni ' || lang || '|Lab' AS organizations,
   source AS venue FROM docs WHERE title <> ''""")
 def s8_works_records(spark, sf):
     docs = _docs(spark, sf)

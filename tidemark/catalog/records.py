@@ -63,8 +63,8 @@ def n2_slug_collisions(spark, sf):
 _COLLAPSE = "trim(regexp_replace({x}, '[\\s\\x0B\\x1c-\\x1f]+', ' ', 'g'), ' -*|#>' || chr(9))"
 
 
-def _sql_summary(expr: str, limit: int) -> str:
-    """CTEs from ``raw(source, x)`` to ``cut(source, summary)``."""
+def sql_summary(expr: str) -> str:
+    """CTEs from ``raw(source, x)`` to ``summaries(source, summary)``."""
     body = expr
     for pattern, replacement in (
         ("(?s)\\A---\\s*\\n.*?\\n---\\s*\\n", ""), ("(?s)<!--.*?-->", " "), ("(?s)```.*?```", " "), ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),
@@ -77,26 +77,23 @@ bodies AS (SELECT source, {body} AS b FROM raw),
 pieces AS (
   SELECT source, b, list_filter(list_transform(string_split(b, chr(10) || chr(10)), lambda p: {clean('p')}),
     lambda p: length(p) >= 40 AND length(p) - length(replace(p, '|', '')) <= 3) AS ps FROM bodies),
-taken AS (
-  SELECT source, b, array_to_string(list_filter(ps, lambda p, i: coalesce(list_sum(list_transform(ps[1:i - 1], lambda q: length(q))), 0) <= {limit}), ' ') AS j FROM pieces),
-filled AS (
-  SELECT source, CASE WHEN j <> '' THEN j WHEN length({clean('b')}) >= 40 THEN {clean('b')} ELSE '' END AS f FROM taken),
-cut AS (
-  SELECT source, CASE WHEN length(f) <= {limit} THEN f ELSE rtrim(regexp_replace(substring(f, 1, {limit}), ' [^ ]*$', ''), ' ,;:.') || '...' END AS summary FROM filled)"""
+taken AS (SELECT source, b, array_to_string(ps, ' ') AS j FROM pieces),
+summaries AS (
+  SELECT source, CASE WHEN j <> '' THEN j WHEN length({clean('b')}) >= 40 THEN {clean('b')} ELSE '' END AS summary FROM taken)"""
 
 
 @query(f"""WITH raw AS (
   SELECT source, text AS x FROM documents
   UNION ALL SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/?#:]+)', 2)), '^www\\.', ''), html FROM pages
-), {_sql_summary('x', 900)}
+), {sql_summary('x')}
 SELECT source, count(*) AS texts, round(avg(CASE WHEN summary = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS empty_share,
-  round(avg(length(summary)), 3) AS mean_length, max(length(summary)) AS longest FROM cut GROUP BY 1""")
+  round(avg(length(summary)), 3) AS mean_length, max(length(summary)) AS longest FROM summaries GROUP BY 1""")
 def n3_markdown_summaries(spark, sf):
     """Share of empty summaries and mean summary length per source, from whole page texts."""
     v.utc(spark)
-    docs = v.table(spark, sf, "documents").select("source", strip_markdown(F.col("text"), 900).alias("summary"))
+    docs = v.table(spark, sf, "documents").select("source", strip_markdown(F.col("text")).alias("summary"))
     pages = v.table(spark, sf, "pages").select(
-        host_name(F.col("url")).alias("source"), strip_markdown(F.col("html"), 900).alias("summary")
+        host_name(F.col("url")).alias("source"), strip_markdown(F.col("html")).alias("summary")
     )
     both = docs.unionByName(pages)
     return both.groupBy("source").agg(
@@ -482,7 +479,7 @@ def r7_bands(spark, sf):
     return score.band_counts(v.scored(spark, sf))
 
 
-_LABELS_SQL = "list_transform(list_slice(categories, 1, 4), lambda c: CASE c WHEN 'lang_en' THEN 'English prose' WHEN 'lang_de' THEN 'German prose' WHEN 'lang_fr' THEN 'French prose' WHEN 'lang_es' THEN 'Spanish prose' ELSE 'License' END)"
+_LABELS_SQL = "list_transform(categories, lambda c: CASE c WHEN 'lang_en' THEN 'English prose' WHEN 'lang_de' THEN 'German prose' WHEN 'lang_fr' THEN 'French prose' WHEN 'lang_es' THEN 'Spanish prose' ELSE 'License' END)"
 
 
 @query(f"""WITH {SCAN_SQL}
@@ -490,7 +487,7 @@ SELECT dedupe_key, array_to_string(list_filter(list_concat(
     list_transform(corroborating, lambda s: 'Also found via ' || s),
     [CASE WHEN demotions > 0 THEN 'Demoted: Shouting.' END,
      CASE WHEN len(categories) > 0 THEN 'Topics: ' || array_to_string({_LABELS_SQL}, ', ') END,
-     CASE WHEN len(terms) > 0 THEN 'Matched: ' || array_to_string(list_slice(terms, 1, 6), ', ') END,
+     CASE WHEN len(terms) > 0 THEN 'Matched: ' || array_to_string(terms, ', ') END,
      CASE WHEN len(families) > 0 THEN 'Tracked family: ' || array_to_string(families, ', ') END,
      CASE WHEN len(watch) > 0 THEN 'Permissive license text.' END,
      'Primary record: ' || source]), lambda x: x IS NOT NULL), ' / ') AS rationale FROM scored""")

@@ -474,7 +474,7 @@ def s12_collect_sources(spark, sf):
 
 
 @query(f"""WITH {ITEMS_SQL}
-SELECT source_id, round(relevance_score, 2)::DOUBLE AS relevance_score, total_score, array_to_string(list_slice(terms, 1, 16), '|') AS matched_terms,
+SELECT source_id, round(relevance_score, 2)::DOUBLE AS relevance_score, total_score, array_to_string(terms, '|') AS matched_terms,
   CASE WHEN len(families) > 0 THEN array_to_string(families, '|') END AS model_families, len(organizations) AS n_organizations FROM items""")
 def s13_public_projection(spark, sf):
     public = snapshots.public_projection(_items(spark, sf))

@@ -80,7 +80,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select(
         "source",
         F.col("doc_id").cast("string").alias("source_id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("summary"),
         "url",
         F.col("ts").alias("published_at"),
@@ -205,7 +205,7 @@ def sql_canonical(expr: str) -> str:
 RECORDS_SQL = f"""
 records AS (
   SELECT d.source, CAST(d.doc_id AS VARCHAR) AS source_id,
-         substring(split_part(d.text, chr(10), 1), 1, 80) AS title, d.text AS summary, p.url,
+         split_part(d.text, chr(10), 1) AS title, d.text AS summary, p.url,
          e.ts AS published_at, 'author ' || (d.doc_id % 7) AS author, 'org ' || (d.doc_id % 5) AS org,
          CASE e.event_type WHEN 'view' THEN 'downloads' WHEN 'click' THEN 'likes' WHEN 'purchase' THEN 'stars'
               WHEN 'signup' THEN 'upvotes' ELSE 'unknown' END AS metric, e.value AS amount, d.lang,

@@ -23,6 +23,11 @@ def ordered_union(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*[strings(a) for a in arrays]))
 
 
+def first_of(values: Column, limit: int | None) -> Column:
+    """The first ``limit`` values; None keeps all."""
+    return values if limit is None else F.slice(values, 1, limit)
+
+
 def has_any(col: Column) -> Column:
     return F.size(strings(col)) > 0
 

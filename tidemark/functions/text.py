@@ -102,8 +102,11 @@ def squash(text: Column) -> Column:
     return F.trim(collapsed)
 
 
-def truncate(text: Column, limit: int) -> Column:
-    """Cut at the last space inside the first ``limit`` characters and mark the cut."""
+def truncate(text: Column, limit: int | None) -> Column:
+    """Cut at the last space inside the first ``limit`` characters and mark the cut; None keeps all."""
+    if limit is None:
+        return text
+
     def cut(full: Column) -> Column:
         whole_words = F.regexp_replace(F.substring(full, 1, limit), r"(?s) [^ ]*$", "")
         marked = F.concat(F.rtrim(whole_words, F.lit(" ,;:.")), F.lit("..."))
@@ -127,11 +130,11 @@ _MARKUP = (
 _EDGE = " -*|#>\t"
 
 
-def strip_markdown(text: Column, limit: int = 900) -> Column:
+def strip_markdown(text: Column, limit: int | None = None) -> Column:
     """One plain paragraph from a README-like text; empty when nothing usable is left.
 
-    Paragraphs under 40 characters and left-over table rows are dropped; paragraphs are taken
-    until their summed length passes ``limit``, then the result is cut at a word.
+    Paragraphs under 40 characters and left-over table rows are dropped. With a ``limit``, paragraphs
+    are taken until their summed length passes it, then the result is cut at a word.
     """
     body = F.coalesce(text, F.lit(""))
     for pattern, replacement in _MARKUP:
@@ -156,7 +159,7 @@ def strip_markdown(text: Column, limit: int = 900) -> Column:
 
     def summary(plain: Column) -> Column:
         pieces = F.filter(F.transform(F.split(plain, "\n\n"), clean), usable)
-        joined = F.aggregate(pieces, start, taken, lambda acc: acc["text"])
+        joined = F.array_join(pieces, " ") if limit is None else F.aggregate(pieces, start, taken, lambda acc: acc["text"])
         return let(joined, lambda kept: F.when(kept != "", kept).otherwise(single(plain)))
 
     return truncate(let(body, summary), limit)

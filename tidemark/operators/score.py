@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import computed, has_any, strings
+from ..functions.arrays import computed, first_of, has_any, strings
 from ..functions.dates import age_hours
 from .match import label_of
 
@@ -163,19 +163,21 @@ def band_counts(df: DataFrame) -> DataFrame:
     return with_band(df).groupBy(F.coalesce("band", F.lit("Below")).alias("band")).agg(F.count("*").alias("records"))
 
 
-def with_rationale(df: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Add ``rationale``: ordered human-readable reasons without repeats."""
+def with_rationale(
+    df: DataFrame, labels: dict[str, str], max_topics: int | None = None, max_terms: int | None = None
+) -> DataFrame:
+    """Add ``rationale``: ordered human-readable reasons without repeats; None names all topics and terms."""
 
     def line(prefix: str, values: Column) -> Column:
         text = F.concat(F.lit(prefix), F.array_join(values, ", "))
         return F.when(F.size(values) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
-    topics = F.transform(F.slice("categories", 1, 4), lambda k: label_of(k, labels))
+    topics = F.transform(first_of(F.col("categories"), max_topics), lambda k: label_of(k, labels))
     lines = F.concat(
         F.transform(strings(F.col("corroborating_sources")), lambda s: F.concat(F.lit("Also found via "), s)),
         F.transform(strings(F.col("demotion_reasons")), lambda r: F.concat(F.lit("Demoted: "), r)),
         line("Topics: ", topics),
-        line("Matched: ", F.slice("matched_terms", 1, 6)),
+        line("Matched: ", first_of(F.col("matched_terms"), max_terms)),
         line("Tracked family: ", F.col("model_families")),
         strings(F.col("watchlist_notes")),
         F.array(F.concat(F.lit("Primary record: "), F.col("source"))),

@@ -6,9 +6,12 @@ order (plus the columns it names), and returns records. Nothing is gated or scor
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import first_of
 from ..functions.dates import hours_before, parse_datetime
 from ..functions.text import strip_markdown, truncate
 from ..functions.urls import owner_of
@@ -20,9 +23,24 @@ HUB_MODELS, HUB_DATASETS, HUB_PAPERS = "Hugging Face Models", "Hugging Face Data
 REPOS, RELEASES = "GitHub", "GitHub Releases"
 SCHOLAR, WORKS = "Semantic Scholar", "OpenAlex"
 
-# Limits of a record.
-ABSTRACT_LIMIT, DESCRIPTION_LIMIT, CARD_LIMIT, NOTES_LIMIT = 1400, 700, 900, 800
-MAX_AUTHORS, MAX_TAGS, MAX_TOPICS, MAX_INSTITUTIONS, MAX_ID = 24, 24, 20, 8, 120
+
+@dataclass(frozen=True)
+class Limits:
+    """Characters of texts and values of lists that a record keeps; None keeps all."""
+
+    abstract: int | None = None
+    description: int | None = None
+    card: int | None = None
+    notes: int | None = None
+    authors: int | None = None
+    tags: int | None = None
+    topics: int | None = None
+    institutions: int | None = None
+
+
+ALL = Limits()
+# The limits of a short published digest.
+DIGEST = Limits(abstract=1400, description=700, card=900, notes=800, authors=24, tags=24, topics=20, institutions=8)
 
 # Announcement kinds of the RSS feed.
 EVENT_KINDS = {"new": "published", "cross": "cross-listed", "replace": "updated", "replace-cross": "updated"}
@@ -56,7 +74,7 @@ def _first_wins(records: DataFrame) -> DataFrame:
     return first_by(records, ["source_id"], [F.col("position")])
 
 
-def rss_records(payloads: DataFrame, now: Column) -> DataFrame:
+def rss_records(payloads: DataFrame, now: Column, limits: Limits = ALL) -> DataFrame:
     """RSS announcements; the ``feed`` column names the listing."""
     schema = (
         "channel struct<lastBuildDate:string, pubDate:string, item:array<struct<title:string, link:string, "
@@ -88,8 +106,8 @@ def rss_records(payloads: DataFrame, now: Column) -> DataFrame:
         "title": F.col("title"),
         "url": F.coalesce(_prefixed("https://arxiv.org/abs/", F.col("paper")), F.col("link")),
         "published_at": parse_datetime(F.coalesce(blank_to_null(text(F.col("e.pubDate"))), F.col("channel_date"))),
-        "summary": truncate(text(F.regexp_extract("raw", _ABSTRACT, 1)), ABSTRACT_LIMIT),
-        "authors": F.slice(_non_blank(authors), 1, MAX_AUTHORS),
+        "summary": truncate(text(F.regexp_extract("raw", _ABSTRACT, 1)), limits.abstract),
+        "authors": first_of(_non_blank(authors), limits.authors),
         "event_kind": F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit("published")),
         "facets": facet_map(
             {"arxiv_categories": _non_blank(F.transform(F.col("e.category"), text)), "feed": one(F.col("feed"))}
@@ -100,7 +118,7 @@ def rss_records(payloads: DataFrame, now: Column) -> DataFrame:
     return to_records(identified, columns, ["title", "link", "feed"], now)
 
 
-def atom_records(payloads: DataFrame, now: Column) -> DataFrame:
+def atom_records(payloads: DataFrame, now: Column, limits: Limits = ALL) -> DataFrame:
     """Atom query results."""
     schema = (
         "entry array<struct<id:string, title:string, published:string, updated:string, summary:string, "
@@ -120,8 +138,8 @@ def atom_records(payloads: DataFrame, now: Column) -> DataFrame:
         "url": _prefixed("https://arxiv.org/abs/", F.col("paper")),
         "published_at": parse_datetime(F.col("published")),
         "updated_at": parse_datetime(F.col("updated")),
-        "summary": truncate(text(F.col("e.summary")), ABSTRACT_LIMIT),
-        "authors": F.slice(_non_blank(names), 1, MAX_AUTHORS),
+        "summary": truncate(text(F.col("e.summary")), limits.abstract),
+        "authors": first_of(_non_blank(names), limits.authors),
         "event_kind": F.when((F.col("updated") != "") & (F.col("updated") != F.col("published")), "updated").otherwise("published"),
         "facets": facet_map(
             {
@@ -143,11 +161,11 @@ def _list_or_scalar(raw: Column) -> Column:
 
 def hub_records(
     payloads: DataFrame, now: Column, kind: str = "models", cards: DataFrame | None = None,
-    card_limit: int = 0, lookback_hours: float = 48.0,
+    card_limit: int | None = None, lookback_hours: float = 48.0, limits: Limits = ALL,
 ) -> DataFrame:
     """Hub repositories (``kind`` models or datasets); the ``query`` column names the search.
 
-    ``cards(repo_id, body)`` gives prose to the freshest ``card_limit`` records only.
+    ``cards(repo_id, body)`` gives prose to all records, or to the freshest ``card_limit`` ones.
     """
     card_fields = ("license", "language", "task_categories", "base_model", "size_categories")
     schema = (
@@ -178,7 +196,7 @@ def hub_records(
         "metrics": metric_map({"downloads": e["downloads"], "likes": e["likes"]}),
         "facets": facet_map(
             {
-                "tags": F.slice(_non_blank(e["tags"]), 1, MAX_TAGS),
+                "tags": first_of(_non_blank(e["tags"]), limits.tags),
                 "query": one(F.col("query")),
                 "hub_kind": F.array(F.lit(kind)),
                 **{f: one(e[f]) for f in ("pipeline_tag", "library_name", "sha")},
@@ -189,18 +207,19 @@ def hub_records(
         "position": F.col("position"),
     }
     records = _first_wins(to_records(rows, columns, ["id", "lastModified", "downloads"], now))
-    if cards is None or card_limit <= 0:
+    if cards is None:
         return records
-    newest = F.greatest("updated_at", "published_at")
-    freshest = records.orderBy(F.desc_nulls_last(newest), "position").limit(card_limit).select("source_id")
-    prose = cards.select(F.col("repo_id").alias("source_id"), strip_markdown(F.col("body"), CARD_LIMIT).alias("_card"))
-    # At most card_limit rows are joined back.
-    chosen = prose.join(freshest, "source_id", "left_semi").dropDuplicates(["source_id"])
-    joined = records.join(chosen, "source_id", "left")
+    prose = cards.select(F.col("repo_id").alias("source_id"), strip_markdown(F.col("body"), limits.card).alias("_card"))
+    if card_limit is not None:
+        newest = F.greatest("updated_at", "published_at")
+        freshest = records.orderBy(F.desc_nulls_last(newest), "position").limit(card_limit).select("source_id")
+        prose = prose.join(freshest, "source_id", "left_semi")
+    # Of several cards of one repository the first in text order counts.
+    joined = records.join(prose.groupBy("source_id").agg(F.min("_card").alias("_card")), "source_id", "left")
     return joined.withColumn("summary", F.coalesce("_card", "summary")).select(*records.columns)
 
 
-def paper_records(payloads: DataFrame, now: Column) -> DataFrame:
+def paper_records(payloads: DataFrame, now: Column, limits: Limits = ALL) -> DataFrame:
     """Daily listed papers; ``listed_on`` is the listing date, newest listing first in order."""
     schema = (
         "array<struct<paper:struct<id:string, title:string, summary:string, publishedAt:string, upvotes:string, "
@@ -224,8 +243,8 @@ def paper_records(payloads: DataFrame, now: Column) -> DataFrame:
         "title": F.col("title"),
         "url": F.concat(F.lit("https://huggingface.co/papers/"), F.col("id")),
         "published_at": parse_datetime(F.coalesce(blank_to_null(inner("publishedAt")), e["publishedAt"])),
-        "summary": F.substring(text(inner("summary")), 1, ABSTRACT_LIMIT),
-        "authors": F.slice(_non_blank(F.transform(inner("authors"), author)), 1, MAX_AUTHORS),
+        "summary": truncate(text(inner("summary")), limits.abstract),
+        "authors": first_of(_non_blank(F.transform(inner("authors"), author)), limits.authors),
         "artifact_urls": F.array(F.concat(F.lit("https://arxiv.org/abs/"), F.col("id"))),
         "metrics": metric_map({"upvotes": F.col("upvotes"), "comments": e["numComments"]}),
         "facets": facet_map({"listed_on": one(F.col("listed_on"))}),
@@ -235,7 +254,7 @@ def paper_records(payloads: DataFrame, now: Column) -> DataFrame:
     return _first_wins(to_records(rows, columns, ["id", "upvotes"], now))
 
 
-def repo_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0) -> DataFrame:
+def repo_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0, limits: Limits = ALL) -> DataFrame:
     """Repository search results; the ``query`` column names the search."""
     schema = (
         "items array<struct<full_name:string, html_url:string, description:string, homepage:string, "
@@ -257,14 +276,14 @@ def repo_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0)
         "url": e["html_url"],
         "published_at": created,
         "updated_at": parse_datetime(F.coalesce(blank_to_null(e["pushed_at"]), e["updated_at"])),
-        "summary": truncate(text(e["description"]), DESCRIPTION_LIMIT),
+        "summary": truncate(text(e["description"]), limits.description),
         "organizations": F.array(F.coalesce(login, owner_of(F.col("repo")))),
         "artifact_urls": F.concat(F.array(e["html_url"]), F.when(homepage.startswith("http"), F.array(homepage)).otherwise(F.array())),
         "metrics": metric_map({"stars": e["stargazers_count"], "forks": e["forks_count"]}),
         "facets": facet_map(
             {
                 "query": one(F.col("query")),
-                "topics": F.slice(_non_blank(e["topics"]), 1, MAX_TOPICS),
+                "topics": first_of(_non_blank(e["topics"]), limits.topics),
                 "language": one(e["language"]),
                 "license": one(e["license"]["spdx_id"]),
             }
@@ -275,7 +294,7 @@ def repo_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0)
     return _first_wins(to_records(rows, columns, ["repo", "pushed_at"], now))
 
 
-def release_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0) -> DataFrame:
+def release_records(payloads: DataFrame, now: Column, lookback_hours: float = 48.0, limits: Limits = ALL) -> DataFrame:
     """Releases of the repository named in the ``repo`` column, inside the window."""
     schema = (
         "array<struct<tag_name:string, name:string, html_url:string, published_at:string, created_at:string, "
@@ -297,7 +316,7 @@ def release_records(payloads: DataFrame, now: Column, lookback_hours: float = 48
         "title": F.trim(F.concat_ws(" ", F.col("repo"), name)),
         "url": e["html_url"],
         "published_at": F.col("at"),
-        "summary": strip_markdown(e["body"], NOTES_LIMIT),
+        "summary": strip_markdown(e["body"], limits.notes),
         "organizations": F.array(owner_of(F.col("repo"))),
         "artifact_urls": F.array(F.concat(F.lit("https://github.com/"), F.col("repo"))),
         "facets": facet_map(
@@ -313,7 +332,7 @@ def release_records(payloads: DataFrame, now: Column, lookback_hours: float = 48
     return to_records(kept, columns, ["repo", "tag"], now)
 
 
-def scholar_records(payloads: DataFrame, now: Column) -> DataFrame:
+def scholar_records(payloads: DataFrame, now: Column, limits: Limits = ALL) -> DataFrame:
     """Scholarly search results; the ``query`` column names the search."""
     schema = (
         "data array<struct<paperId:string, title:string, abstract:string, venue:string, year:string, "
@@ -335,7 +354,7 @@ def scholar_records(payloads: DataFrame, now: Column) -> DataFrame:
     )
     year = F.when(F.coalesce(e["year"], F.lit("")).isin("", "0"), F.lit(None)).otherwise(e["year"])
     identified = rows.withColumn(
-        "paperId", F.substring(F.coalesce(blank_to_null(e["paperId"]), F.col("doi"), F.col("title")), 1, MAX_ID)
+        "paperId", F.coalesce(blank_to_null(e["paperId"]), F.col("doi"), F.col("title"))
     )
     columns = {
         "source": F.lit(SCHOLAR),
@@ -343,8 +362,8 @@ def scholar_records(payloads: DataFrame, now: Column) -> DataFrame:
         "title": F.col("title"),
         "url": F.coalesce(blank_to_null(e["url"]), F.get(links, F.lit(0)), F.lit("")),
         "published_at": parse_datetime(F.coalesce(blank_to_null(e["publicationDate"]), F.concat(year, F.lit("-01-01")))),
-        "summary": truncate(text(e["abstract"]), ABSTRACT_LIMIT),
-        "authors": F.slice(_non_blank(F.transform(e["authors"], lambda a: a["name"])), 1, MAX_AUTHORS),
+        "summary": truncate(text(e["abstract"]), limits.abstract),
+        "authors": first_of(_non_blank(F.transform(e["authors"], lambda a: a["name"])), limits.authors),
         "artifact_urls": links,
         "metrics": metric_map({"citations": e["citationCount"], "influential_citations": e["influentialCitationCount"]}),
         "facets": facet_map(
@@ -357,7 +376,7 @@ def scholar_records(payloads: DataFrame, now: Column) -> DataFrame:
     return _first_wins(records.where("url <> ''"))
 
 
-def rebuilt_abstract(inverted: Column) -> Column:
+def rebuilt_abstract(inverted: Column, limit: int | None = None) -> Column:
     """Text from a ``map<word, positions>``, cut like any abstract.
 
     One work's words stay inside its row; equal positions order by word.
@@ -369,10 +388,10 @@ def rebuilt_abstract(inverted: Column) -> Column:
         )
     )
     words = F.transform(F.array_sort(F.filter(placed, lambda p: p["at"].isNotNull())), lambda p: p["word"])
-    return truncate(F.coalesce(F.array_join(words, " "), F.lit("")), ABSTRACT_LIMIT)
+    return truncate(F.coalesce(F.array_join(words, " "), F.lit("")), limit)
 
 
-def works_records(payloads: DataFrame, now: Column) -> DataFrame:
+def works_records(payloads: DataFrame, now: Column, limits: Limits = ALL) -> DataFrame:
     """Works with inverted abstracts; the ``query`` column names the search."""
     schema = (
         "results array<struct<id:string, display_name:string, title:string, publication_date:string, type:string, "
@@ -402,9 +421,9 @@ def works_records(payloads: DataFrame, now: Column) -> DataFrame:
         "title": F.col("title"),
         "url": F.coalesce(blank_to_null(e["doi"]), F.col("id")),
         "published_at": parse_datetime(e["publication_date"]),
-        "summary": rebuilt_abstract(e["abstract_inverted_index"]),
-        "authors": F.slice(_non_blank(names), 1, MAX_AUTHORS),
-        "organizations": F.slice(F.array_distinct(_non_blank(institutions)), 1, MAX_INSTITUTIONS),
+        "summary": rebuilt_abstract(e["abstract_inverted_index"], limits.abstract),
+        "authors": first_of(_non_blank(names), limits.authors),
+        "organizations": first_of(F.array_distinct(_non_blank(institutions)), limits.institutions),
         "artifact_urls": _non_blank(F.array(e["doi"], e["primary_location"]["pdf_url"])),
         "metrics": metric_map({"citations": e["cited_by_count"]}),
         "facets": facet_map({"query": one(F.col("query")), "type": one(e["type"])}),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import first_of, let
 from ..functions.cells import PLACEHOLDERS, clean_cell, clean_heading, informative, publisher_parts
 from ..functions.dates import parse_datetime
 from ..functions.text import normalize, slug, truncate
@@ -28,7 +28,6 @@ DIVIDER = r"(?U)^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
 DATE_HEADERS = ("date", "year", "released", "release")
 FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
 LEVELS = range(1, 7)
-SUMMARY_LIMIT, MAX_EXTRA_LINKS = 800, 6
 
 
 def files_to_documents(files: DataFrame, path_col: str = "path", text_col: str = "value") -> DataFrame:
@@ -105,12 +104,14 @@ def _split_row(line: Column) -> Column:
 
 
 def markdown_table_records(
-    documents: DataFrame, rules: RuleSet, now: Column, source: str = CURATED_REPORT
+    documents: DataFrame, rules: RuleSet, now: Column, source: str = CURATED_REPORT,
+    summary_limit: int | None = None, max_links: int | None = None, section_depth: int | None = None,
 ) -> DataFrame:
     """Records of every table row that has a title and a link.
 
     ``documents(origin, text[, report_date])``; the report date stands in for a missing or
-    unreadable date cell and for the discovery time.
+    unreadable date cell and for the discovery time. The limits cut summaries and further links and
+    keep the innermost headings of a section; None keeps all. One file is one task's work.
     """
     if "report_date" not in documents.columns:
         documents = documents.withColumn("report_date", F.lit(None).cast("string"))
@@ -135,7 +136,7 @@ def markdown_table_records(
     )
     name, publisher = publisher_parts(F.col("_title"))
     named = kept.withColumns({"title": name, "publisher": publisher}).withColumn(
-        "record_id", F.concat_ws(":", "origin", slug(F.col("title")), F.substring(slug(F.col("url")), 1, 60))
+        "record_id", F.concat_ws(":", "origin", slug(F.col("title")), slug(F.col("url")))
     )
     first = first_by(named, ["origin", "record_id"], [F.col("n")])
 
@@ -164,8 +165,11 @@ def markdown_table_records(
             F.lit("="), x["c"],
         ),
     )
-    section = F.array_join(F.slice("trail", F.greatest(F.lit(1), F.size("trail") - 2), 3), " > ")
-    extra = F.slice(F.array_remove("_links", F.col("url")), 1, MAX_EXTRA_LINKS)
+    inner = F.col("trail")
+    if section_depth is not None:
+        inner = F.slice(inner, F.greatest(F.lit(1), F.size(inner) - (section_depth - 1)), section_depth)
+    section = F.array_join(inner, " > ")
+    extra = first_of(F.array_remove("_links", F.col("url")), max_links)
     ready = first.withColumn("_heads", heads).withColumn("_section", section)
     facets = F.map_filter(
         F.create_map(
@@ -182,7 +186,7 @@ def markdown_table_records(
         "title": F.col("title"),
         "url": F.col("url"),
         "published_at": published,
-        "summary": truncate(F.array_join(phrases, ". "), SUMMARY_LIMIT),
+        "summary": truncate(F.array_join(phrases, ". "), summary_limit),
         "organizations": one(F.col("publisher")),
         "artifact_urls": extra,
         "facets": facets,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import first_of
 from ..operators.quality import validate_snapshot
 from ..operators.score import round2
 
-# Published sizes of the list columns.
-CAPS = {"authors": 12, "artifact_urls": 8, "matched_terms": 16}
+# Sizes of the list columns in a short published digest.
+DIGEST_CAPS = {"authors": 12, "artifact_urls": 8, "matched_terms": 16}
 SCORES = ("relevance_score", "evidence_score", "recency_score", "adoption_score", "total_score")
 REQUIRED = (
     "source", "source_id", "title", "url", "event_kind", "provenance", "categories", *SCORES, "score_version",
@@ -44,12 +45,13 @@ class SnapshotError(ValueError):
     """A snapshot failed validation and was not written."""
 
 
-def public_projection(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Published columns: lists capped, scores on two decimals, empty optional fields NULL."""
+def public_projection(df: DataFrame, extra: tuple[str, ...] = (), caps: dict[str, int] | None = None) -> DataFrame:
+    """Published columns: scores on two decimals, empty optional fields NULL, lists cut only by ``caps``."""
+    caps = caps or {}
     types = dict(df.dtypes)
 
     def published(name: str) -> Column:
-        col = F.slice(name, 1, CAPS[name]) if name in CAPS else F.col(name)
+        col = first_of(F.col(name), caps.get(name))
         if name in SCORES:
             return round2(col)
         if name == "metrics":
