@@ -109,13 +109,37 @@ def test_entity_state_equals_batch(spark, event_files, tmp_path):
     assert got == expected
 
 
-def test_dated_sink_keeps_all_batches_of_a_date_and_is_idempotent(spark, event_files, tmp_path):
+def test_dated_sink_keeps_all_batches_of_a_date_and_replaces_it(spark, event_files, tmp_path):
     path, rows = event_files
     out = str(tmp_path / "dated")
-    dated = stream(spark, path).withColumn("scan_date", F.to_date("ts"))
-    for attempt in ("p1", "p2"):
+    schema = "id bigint, ts timestamp_ntz, key string, score double"
+    for attempt, files in (("p1", 1), ("p2", 3), ("p3", None), ("p3", 1)):
+        dated = jobs.file_stream(spark, path, schema, files_per_batch=files).withColumn("scan_date", F.to_date("ts"))
         jobs.replace_batches(dated, out, str(tmp_path / attempt), by=("scan_date",)).awaitTermination()
-        assert spark.read.parquet(out).count() == len(rows)
+        got = jobs.current_rows(spark, out, ["scan_date"])
+        assert sorted(r["id"] for r in got.collect()) == sorted(r[0] for r in rows)
+
+
+def test_update_mode_counts_every_day(spark, event_files, tmp_path):
+    path, rows = event_files
+    out = str(tmp_path / "days")
+    counts = jobs.daily_counts(stream(spark, path), "ts", "key", hours=24 * 365)
+    jobs.replace_batches(counts, out, str(tmp_path / "p"), mode="update").awaitTermination()
+    expected = {}
+    for _, ts, key, _ in rows:
+        expected[(f"{ts:%Y-%m-%d}", key)] = expected.get((f"{ts:%Y-%m-%d}", key), 0) + 1
+    read = lambda folder: {(r["day"], r["key"]): r["count"] for r in jobs.latest_state(spark, folder, ["day", "key"]).collect()}
+    assert read(out) == expected
+    jobs.compact_state(spark, out, ["day", "key"], str(tmp_path / "compact"))
+    assert read(str(tmp_path / "compact")) == expected and spark.read.parquet(str(tmp_path / "compact")).count() == len(expected)
+
+
+def test_a_key_is_reported_again_after_its_window(spark, event_files, tmp_path):
+    path, rows = event_files
+    out = str(tmp_path / "out")
+    unique = jobs.unique_in_window(stream(spark, path), ["key"], "ts", hours=24)
+    jobs.append_files(unique.select("key"), out, str(tmp_path / "p")).awaitTermination()
+    assert spark.read.parquet(out).count() > 5
 
 
 def test_lookback_drops_old_rows(spark, event_files, tmp_path):

@@ -1,7 +1,7 @@
 """Views that shape the test tables like the library's inputs, with their SQL twins.
 
 ``records``: documents with the time of an event, the URL of a page and metrics by event type.
-``trials``: order lines as (model, task) runs. ``catalogue``: parts as standing entries.
+``trials``: order lines as attempts, averaged per model and task. ``catalogue``: parts as standing entries.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import first_by, merge_duplicates
+from ..operators.dedupe import merge_duplicates
+from ..operators.leaderboard import average_attempts
 from ..operators.match import match_records
 from ..operators.score import score_records
 from ..operators.select import SelectConfig, select_records
@@ -134,19 +135,19 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("p_type", "p_partkey").alias("category")
     )
     lines = lineitem.select(
-        "l_suppkey", (F.col("l_partkey") % N_TASKS).alias("task"), "l_orderkey", "l_linenumber", "l_partkey",
+        "l_suppkey", (F.col("l_partkey") % N_TASKS).alias("task"),
         F.round(F.col("l_discount") * 10, 2).alias("reward"),
         (F.col("l_returnflag") == "R").alias("errored"),
         (F.col("l_extendedprice") / 1000).alias("cost"),
         F.col("l_quantity").alias("steps"),
         (F.col("l_quantity") * 2).alias("minutes"),
     )
-    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "cost")]
-    first = first_by(lines, ["l_suppkey", "task"], order)
     models = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("model"), F.col("n_name").alias("org")
     )
-    return first.join(models, "l_suppkey").join(categories, "task").select(
+    # Attempts are averaged on their two keys alone; names join the few rows that remain.
+    trials = average_attempts(lines, ["l_suppkey", "task"])
+    return trials.join(models, "l_suppkey").join(categories, "task").select(
         "model", "org", "task", "category", "reward", "errored", "cost", "steps", "minutes"
     )
 
@@ -362,15 +363,18 @@ task_category AS (
 trials AS (
   SELECT s.s_name AS model, n.n_name AS org, x.task, c.category, x.reward, x.errored, x.cost, x.steps, x.minutes
   FROM (
-    SELECT l_suppkey, l_partkey % {N_TASKS} AS task, round(l_discount * 10, 2) AS reward, l_returnflag = 'R' AS errored,
-           l_extendedprice / 1000 AS cost, l_quantity AS steps, l_quantity * 2 AS minutes,
-           row_number() OVER (PARTITION BY l_suppkey, l_partkey % {N_TASKS}
-             ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1000) AS rn
-    FROM lineitem
+    SELECT l_suppkey, task, round(CAST(sum(CAST(CASE WHEN errored THEN 0 ELSE reward END AS DECIMAL(28,6))) AS DOUBLE) / count(*), 9) AS reward,
+           bool_and(errored) AS errored, round(CAST(sum(CAST(cost AS DECIMAL(28,6))) AS DOUBLE) / count(*), 9) AS cost,
+           round(CAST(sum(CAST(steps AS DECIMAL(28,6))) AS DOUBLE) / count(*), 9) AS steps,
+           round(CAST(sum(CAST(minutes AS DECIMAL(28,6))) AS DOUBLE) / count(*), 9) AS minutes
+    FROM (
+      SELECT l_suppkey, l_partkey % {N_TASKS} AS task, round(l_discount * 10, 2) AS reward, l_returnflag = 'R' AS errored,
+             l_extendedprice / 1000 AS cost, l_quantity AS steps, l_quantity * 2 AS minutes
+      FROM lineitem
+    ) GROUP BY l_suppkey, task
   ) x
   JOIN supplier s ON s.s_suppkey = x.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey
   JOIN task_category c ON c.task = x.task
-  WHERE x.rn = 1
 ),
 effective AS (SELECT *, CASE WHEN errored THEN 0.0 ELSE reward END AS eff FROM trials)"""
 

@@ -21,6 +21,22 @@ def _effective() -> Column:
     return F.when(F.coalesce("errored", F.lit(False)) | F.col("reward").isNull(), F.lit(0.0)).otherwise(F.col("reward"))
 
 
+def average_attempts(attempts: DataFrame, keys: Sequence[str] = ("model", "org", "task", "category")) -> DataFrame:
+    """One trial per model and task from any number of attempts.
+
+    ``reward`` is the mean over attempts, errored ones counting as zero; a trial is ``errored`` when all of
+    its attempts are. ``cost``, ``steps`` and ``minutes`` are means. Sums are taken over decimals, so the
+    order of rows cannot change them.
+    """
+    mean = lambda c, digits: F.round(F.sum(c.cast(f"decimal(28,{digits})")).cast("double") / F.count("*"), 9)
+    return attempts.groupBy(*keys).agg(
+        mean(_effective(), 6).alias("reward"),
+        F.every(F.coalesce("errored", F.lit(False))).alias("errored"),
+        *[mean(F.col(c), 6).alias(c) for c in ("cost", "steps", "minutes")],
+        F.count("*").alias("attempts"),
+    )
+
+
 def mean_reward(trials: DataFrame, n_tasks: int) -> DataFrame:
     """Mean over the full task list; errored and missing trials count as zero."""
     return trials.groupBy("model", "org").agg(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,12 +35,20 @@ def lookback(stream: DataFrame, ts: str, now: Column, live_hours: float = 48.0,
 
 
 def unique_in_window(stream: DataFrame, keys: Sequence[str], ts: str, hours: float = 48.0) -> DataFrame:
-    """One row per key while its first sighting is inside the window."""
+    """The first sighting of each key, and a later one only after its state has expired.
+
+    A key is forgotten once the watermark, ``hours`` behind the newest event, has passed ``hours`` beyond its
+    sighting; to report a key once, ``hours`` has to outlast the stream.
+    """
     return stream.withWatermark(ts, f"{int(hours)} hours").dropDuplicatesWithinWatermark(list(keys))
 
 
 def daily_counts(stream: DataFrame, ts: str, value: str, hours: float = 48.0) -> DataFrame:
-    """Counts per UTC day and value; a day appears once its late rows are no longer accepted."""
+    """Counts per UTC day and value; rows up to ``hours`` behind the newest event still count.
+
+    In append mode a day appears once its late rows are no longer accepted. In update mode, into
+    ``replace_batches``, every day appears at once and ``latest_state`` gives its newest count.
+    """
     counted = stream.withWatermark(ts, f"{int(hours)} hours").groupBy(F.window(ts, "1 day"), F.col(value)).agg(
         F.count("*").alias("count")
     )
@@ -61,13 +71,29 @@ def append_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> int:
+    """When the run with this progress folder began, in microseconds; a restarted run keeps its number."""
+    marker = f"{checkpoint.rstrip('/')}-run"
+    try:
+        return spark.read.schema("run long").parquet(marker).first().run
+    except AnalysisException:
+        run = time.time_ns() // 1000
+        spark.range(1).select(F.lit(run).alias("run")).coalesce(1).write.parquet(marker)
+        return run
+
+
 def replace_batches(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), mode: str = "append") -> StreamingQuery:
-    """Idempotent dated sink: a batch that runs again replaces exactly its own partitions."""
+    """Idempotent dated sink: a batch that runs again replaces exactly its own partitions.
+
+    Rows carry the run that wrote them. What a newer run writes for a value of ``by`` stands in place of all
+    that older runs wrote for it, however the files fell into batches; read it with ``current_rows``.
+    """
+    run = _run_of(stream.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parts = [*by, "batch_id"]
+        parts = [*by, "run", "batch_id"]
         (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts).parquet(path)
         )
@@ -76,6 +102,21 @@ def replace_batches(stream: DataFrame, path: str, checkpoint: str, by: Sequence[
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_rows(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """Rows of the newest run for each value of ``by`` in a ``replace_batches`` table.
+
+    The runs come from the names of the partitions; there is one row per value, as per date.
+    """
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(*by).agg(F.max("run").alias("run"))
+    return rows.join(newest, [*by, "run"], "left_semi").drop("run", "batch_id")
+
+
 def latest_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest row per key from an update-mode ``replace_batches`` table."""
-    return first_by(spark.read.parquet(path), keys, [F.desc("batch_id")]).drop("batch_id")
+    return first_by(spark.read.parquet(path), keys, [F.desc("run"), F.desc("batch_id")]).drop("run", "batch_id")
+
+
+def compact_state(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
+    """Writes the newest row per key to a new table of the same form, so that the log of updates can go."""
+    first_by(spark.read.parquet(path), keys, [F.desc("run"), F.desc("batch_id")]).write.partitionBy("run", "batch_id").parquet(to)
