@@ -67,7 +67,7 @@ def test_join_counts_with_few_hot_keys_equals_plain_join(spark):
     left = spark.createDataFrame(rows, "i int, k int")
     counts = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 3 = 0")
     for how in ("inner", "left_semi"):
-        got = join_counts(left, counts, "k", "n", ["i"], how, hot_keys=2, salts=7)
+        got = join_counts(left, counts, "k", "n", ["i"], how, partitions=7)
         want = left.join(counts, "k", how)
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import has_any
+from ..plans.storage import broadcast_if_small, stored
+
+#: Example rows, some 100 bytes each, that may be broadcast.
+EXAMPLES = 200_000
 
 
 def boilerplate(
@@ -15,8 +19,9 @@ def boilerplate(
 ) -> DataFrame:
     """Summaries of ``min_length`` characters or more that ``threshold`` records share.
 
-    Hashes are counted first with one example record each, so the shuffle carries no texts; the
-    text is then fetched for the example of every repeated hash alone.
+    Hashes are counted first with one example record each, so that shuffle carries no texts; the
+    text is then fetched for the example of every repeated hash alone. The examples are broadcast when
+    there are at most ``EXAMPLES``, which leaves the texts where they are; more are joined by a shuffle.
     """
     trimmed = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?U)^\s+|\s+\z", "")
     long = df.select(*id_cols, trimmed.alias("summary")).where(F.length("summary") >= min_length)
@@ -27,6 +32,7 @@ def boilerplate(
         .where(F.col("records") >= threshold)
         .select("_hash", "records", "_example.*")
     )
+    repeated = broadcast_if_small(stored(repeated, "repeated"), EXAMPLES)
     examples = hashed.join(repeated, [*id_cols, "_hash"])
     return examples.dropDuplicates(["_hash"]).select("summary", "records")
 

@@ -1,7 +1,7 @@
 """Joins against per-key counts in which any key may hold a large share of the rows.
 
 Adaptive skew handling does not reach a join whose small side is an aggregate, so the split is
-written out: the most frequent keys are known from their counts, their rows are spread over
+written out: keys that outweigh a partition are known from their counts, their rows are spread over
 salts, and only their count rows are repeated.
 """
 
@@ -10,23 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot; any other key holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-SALTS = 64
-
 
 def join_counts(
     left: DataFrame, counts: DataFrame, key: str, n: str, spread_by: list[str], how: str = "inner",
-    hot_keys: int = HOT_KEYS, salts: int = SALTS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``counts`` (one row per key, frequency in ``n``) on ``key``.
 
-    ``how`` is inner or left_semi. ``spread_by`` are columns of ``left`` that tell rows of one
-    key apart. The broadcast holds at most ``hot_keys`` keys.
+    ``how`` is inner or left_semi. ``spread_by`` are columns of ``left`` that tell rows of one key apart. A
+    key with more rows than an average partition gets as many salts as it would fill partitions, so at
+    most ``partitions`` keys (default: the session's shuffle partitions) are broadcast.
     """
-    hot = counts.orderBy(F.desc(n), key).limit(hot_keys).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = counts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = F.col(n) * partitions / counts.agg(F.sum(n)).scalar()
+    hot = counts.where(filled > 1).select(key, F.ceil(filled).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
+    repeated = counts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"], how).drop("_salt")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _LOCAL: list[str] = []
@@ -47,3 +48,8 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``stored`` under the name that the scan uses for its steps."""
     return stored(df, "step")
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a stored table, marked for broadcast when a count finds at most ``rows``; else unmarked."""
+    return F.broadcast(df) if df.count() <= rows else df
