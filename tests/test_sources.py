@@ -224,3 +224,13 @@ def test_backfill_skips_existing_dates_and_scores_as_of_report(spark):
     done, funnels = run_backfill(entries, RULES, existing, selection=SelectConfig(minimum_score=10.0))
     got = {r["scan_date"]: r["recency_score"] for r in done.collect()}
     assert got == {day(0): 100.0, day(2): 100.0, day(3): 100.0} and funnels.count() == 3
+
+
+def test_fingerprint_ignores_the_order_of_nested_keys(spark):
+    from tidemark.operators.quality import payload_hash
+
+    first = spark.sql("SELECT 1 AS a, map('x', named_struct('p', 1, 'q', 2), 'y', NULL) AS m, array(named_struct('k', 1, 'j', map('b', 1, 'a', 2))) AS l")
+    second = spark.sql("SELECT array(named_struct('j', map('a', 2, 'b', 1), 'k', 1)) AS l, map('y', NULL, 'x', named_struct('q', 2, 'p', 1)) AS m, 1 AS a")
+    other = spark.sql("SELECT array(named_struct('j', map('a', 2, 'b', 9), 'k', 1)) AS l, map('y', NULL, 'x', named_struct('q', 2, 'p', 1)) AS m, 1 AS a")
+    hashes = [df.select(payload_hash(df.columns, df.schema)).first()[0] for df in (first, second, other)]
+    assert hashes[0] == hashes[1] != hashes[2]

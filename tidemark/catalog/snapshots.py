@@ -132,10 +132,11 @@ def j7_previous_scan(spark, sf):
     return trends.where("comparable and delta <> 0").select("scan_date", "category", "delta")
 
 
-@query(f"""WITH {ITEMS_SQL}, {_VALUES_SQL}
+@query(f"""WITH {ITEMS_SQL}, {_VALUES_SQL}, facet_values AS (
 SELECT DISTINCT CASE facet WHEN 'category' THEN 'categories' WHEN 'source' THEN 'sources' WHEN 'event' THEN 'event_kinds'
   WHEN 'family' THEN 'model_families' ELSE 'organizations' END AS facet, value FROM pairs
-UNION SELECT 'dates', CAST(scan_date AS VARCHAR) FROM items UNION SELECT 'provenance', provenance FROM items""")
+UNION SELECT 'dates', CAST(scan_date AS VARCHAR) FROM items UNION SELECT 'provenance', provenance FROM items)
+SELECT *, row_number() OVER (PARTITION BY facet ORDER BY CASE facet WHEN 'dates' THEN value END DESC NULLS LAST, value) AS place FROM facet_values""")
 def a4_facets(spark, sf):
     return rollup.facets(_items(spark, sf))
 
@@ -364,6 +365,14 @@ def a14_catalogue_sections(spark, sf):
     return cat.catalogue_sections(v.catalogue(spark, sf))
 
 
+@query(f"""WITH {CATALOGUE_SQL}
+SELECT {sql_slug('section_title')} AS section_key, subsection, title, url, published_at,
+  row_number() OVER (PARTITION BY {sql_slug('section_title')} ORDER BY published_at DESC, position) AS place FROM catalogue""")
+def a14_section_entries(spark, sf):
+    listed = cat.section_entries(v.catalogue(spark, sf))
+    return listed.select("section_key", "subsection", "title", "url", "published_at", F.col("place").cast("bigint").alias("place"))
+
+
 _CAT_TEXT = "concat_ws(' ', title, summary, section)"
 _CAT_MATCH = sql_matched("catalogue", _CAT_TEXT, "summary", "enriched")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ordered_union, strings
@@ -30,6 +30,17 @@ def catalogue_sections(entries: DataFrame, position: str = "position") -> DataFr
     return sized.orderBy(F.desc("entries"), "section_key")
 
 
+def section_entries(entries: DataFrame, published: str = "published_at", position: str = "position", first: int | None = None) -> DataFrame:
+    """Entries with their section, subsection and ``place`` in it from 1, newest first, undated last.
+
+    ``first`` keeps only the first places, which Spark finds before it moves rows; without it a section is
+    sorted as a whole, so its size is that of one task.
+    """
+    newest = Window.partitionBy("section_key").orderBy(F.desc_nulls_last(published), position)
+    placed = with_sections(entries).withColumn("place", F.row_number().over(newest))
+    return placed if first is None else placed.where(F.col("place") <= first)
+
+
 def enrich_catalogue(entries: DataFrame, rules: RuleSet) -> DataFrame:
     """Hinted then inferred categories, families and watch-list names of catalogue entries."""
     text = F.concat_ws(" ", "title", "summary", "section")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import has_any
 from ..plans.storage import broadcast_if_small, stored
@@ -57,14 +58,32 @@ def validate_snapshot(items: DataFrame, required: Sequence[str] = ("source", "so
     return per_row.unionByName(repeated.select(*keys, F.lit("duplicate item").alias("violation")))
 
 
-def payload_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the canonical (key-sorted, compact) JSON of the columns."""
-    ordered = F.struct(*[F.col(c) for c in sorted(columns)])
+def _key_sorted(value: Column, kind: T.DataType) -> Column:
+    """``value`` with the fields of structs and the keys of maps in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        inner = F.struct(*[_key_sorted(value[f.name], f.dataType).alias(f.name) for f in fields])
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _key_sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        sorted_values = F.transform_values(value, lambda _, x: _key_sorted(x, kind.valueType))
+        return F.map_from_entries(F.array_sort(F.map_entries(sorted_values), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
+def payload_hash(columns: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """SHA-256 of the compact JSON of the columns, keys sorted.
+
+    With the ``schema`` of the rows, keys of maps and nested structs are sorted too.
+    """
+    kinds = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    ordered = F.struct(*[_key_sorted(F.col(c), kinds.get(c, T.StringType())).alias(c) for c in sorted(columns)])
     return F.concat(F.lit("sha256:"), F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}).cast("binary"), 256))
 
 
 def with_payload_hash(df: DataFrame, columns: Sequence[str], out: str = "raw_payload_hash") -> DataFrame:
-    return df.withColumn(out, payload_hash(columns))
+    return df.withColumn(out, payload_hash(columns, df.schema))
 
 
 def unchanged_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: str = "raw_payload_hash") -> DataFrame:

@@ -110,13 +110,17 @@ FACETS = {
 
 
 def facets(items: DataFrame, columns: dict[str, str] = FACETS) -> DataFrame:
-    """Distinct values per facet with their display order; dates newest first."""
+    """Distinct values per facet with their display ``place`` from 1: dates newest first, others by value.
+
+    A window over one facet sorts its distinct values alone, and dates are one per day.
+    """
     types = dict(items.dtypes)
     filled = items.withColumns(
         {c: F.coalesce(F.col(c).cast("string"), F.lit("live" if c == "provenance" else "")) for c in columns.values() if not types[c].startswith("array")}
     )
     long = filled.select(F.inline(F.concat(*_facet_pairs(filled, columns)))).where("value is not null and value <> ''")
-    return long.distinct()
+    order = [F.when(F.col("facet") == "dates", F.col("value")).desc_nulls_last(), F.col("value")]
+    return long.distinct().withColumn("place", F.row_number().over(W.partitionBy("facet").orderBy(*order)).cast("bigint"))
 
 
 def totals(items: DataFrame) -> DataFrame:

@@ -86,5 +86,5 @@ def to_records(df: DataFrame, columns: dict[str, Column], hash_columns: list[str
             if name != "raw_payload_hash"
         ],
     )
-    hashed = mapped.withColumn("r_raw_payload_hash", payload_hash(hash_columns) if hash_columns else F.lit(""))
+    hashed = mapped.withColumn("r_raw_payload_hash", payload_hash(hash_columns, mapped.schema) if hash_columns else F.lit(""))
     return hashed.select(*[F.col(f"r_{name}").alias(name) for name in RECORD_COLUMNS])
