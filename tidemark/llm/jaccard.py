@@ -76,7 +76,7 @@ def signatures(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     else:
         usual = np.zeros(n, np.int64)
     differ = n // 3
-    band = max(6, int(n - 1).bit_length())
+    band = _band(n)
     out = []
     for b in (band, band + 1) if 4 * n >= 3 << band else (band,):
         if b == 6:
@@ -101,8 +101,34 @@ def signatures(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return np.concatenate(out)
 
 
+def _band(n: int) -> int:
+    return max(6, int(n - 1).bit_length())
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of a set's shingles over 2 to 4 times as many hash values as it has shingles.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits, so a sketch can rule a
+    pair out but never wrongly.
+    """
+    bits = 2 << _band(len(found))
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, longer ones folded to ``size`` bytes."""
+    rows = []
+    for raw in sketches:
+        bits = np.frombuffer(raw, np.uint64)
+        while bits.nbytes > size:
+            half = len(bits) // 2
+            bits = bits[:half] ^ bits[half:]
+        rows.append(bits)
+    return np.array(rows)
+
+
 def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, key) of every row and, in the same pass, (shingle, n) of shingles common in a batch.
+    """(doc_id, n, key, sketch) of every row and, in the same pass, (shingle, n) of shingles common in a batch.
 
     ``key`` is equal for equal sets. Rows of shingles have a NULL key.
     """
@@ -110,12 +136,13 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, seen, pool = [], [], set(), []
+            sizes, keys, marks, seen, pool = [], [], [], set(), []
             for raw in text_bytes(batch.column(1)):
                 found = shingles(raw)
                 key = xxhash.xxh3_128_digest(found.tobytes())
                 sizes.append(len(found))
                 keys.append(key)
+                marks.append(sketch(found) if len(found) else b"")
                 if key not in seen and len(found):
                     seen.add(key)
                     pool.append(found)
@@ -123,21 +150,22 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             common = times >= max(3, 0.002 * len(pool))
             usual, times = usual[common].view(np.int64), times[common]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sizes), pa.int64())],
-                names=["doc_id", "n", "key", "shingle"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(sizes), pa.int64())],
+                names=["doc_id", "n", "key", "sketch", "shingle"],
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(usual), batch.column(0).type), pa.array(times.astype(np.int64)), pa.nulls(len(usual), pa.binary()), pa.array(usual)],
-                names=["doc_id", "n", "key", "shingle"],
+                [pa.nulls(len(usual), batch.column(0).type), pa.array(times.astype(np.int64)), pa.nulls(len(usual), pa.binary()), pa.nulls(len(usual), pa.binary()), pa.array(usual)],
+                names=["doc_id", "n", "key", "sketch", "shingle"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, key binary, shingle long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, key binary, sketch binary, shingle long")
 
 
 def _only(df: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
     """Rows whose id is in ``ids`` (column id), which are broadcast when few enough."""
     small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, F.col(quoted(doc_id)) == F.col("id"), "left_semi")
+    ids = ids.select(F.col("id").alias(doc_id))
+    return df.join(F.broadcast(ids) if small else ids, doc_id, "left_semi")
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
@@ -175,39 +203,61 @@ def _buckets(tokens: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "token long, hub long, id long")
 
 
-def _linked(a: str, b: str):
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches and sizes don't rule out."""
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            apart = [
+                int(np.bitwise_count(np.bitwise_xor(*_folded([x, y], min(len(x), len(y))))).sum())
+                for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ]
+            keep = 7 * np.array(apart, np.int64) <= n + m
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by the sets themselves, computed again for their documents."""
+    pairs = stored(pairs, "possible")
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    sets = map_texts(
+        _only(texts, ids, "doc_id"), "t", "s array<long>", lambda: lambda batch: [[shingles(raw).view(np.int64) for raw in batch]], ["doc_id"]
+    )
+    sets = stored(sets.dropDuplicates(["doc_id"]), "arrays")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    similar = 100 * both >= PERCENT * (F.size("s_a") + F.size("s_b") - both)
+    return stored(pairs.join(side("b"), "b").join(side("a"), "a").where(similar).select("a", "b"), "similar")
 
 
-def _block_links(rows: DataFrame) -> DataFrame:
-    """Links between sets of two blocks; ``rows`` has pair (of blocks), side, id, label and s."""
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of two blocks that sketches don't rule out; ``rows`` has pair (of blocks), side, id, label, n, sketch."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side, ids, label = (table.column(c).to_numpy() for c in ("side", "id", "label"))
-        sets = [np.asarray(x, np.int64) for x in table.column("s").to_pylist()]
+        side, ids, label, n = (table.column(c).to_numpy() for c in ("side", "id", "label", "n"))
+        sketches = table.column("sketch").to_pylist()
+        bits = _folded(sketches, min(map(len, sketches)))
         left = np.flatnonzero(side == 0)
         right = left if (side == 0).all() else np.flatnonzero(side == 1)
-        size = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, at = np.unique(np.concatenate(sets), return_inverse=True)
-        # Shingles of one set decide nothing.
-        often = np.bincount(at) > 1
-        column = np.cumsum(often) - 1
-        keep = often[at]
-        dense = np.zeros((len(sets), int(often.sum())), np.float32)
-        dense[owner[keep], column[at[keep]]] = 1
-        both = (dense[left] @ dense[right].T).round().astype(np.int64)
-        union = size[left][:, None] + size[right][None, :] - both
-        hit = (100 * both >= PERCENT * union) & (label[left][:, None] != label[right][None, :])
-        i, j = np.nonzero(hit)
-        return pa.table({"a": pa.array(ids[left[i]]), "b": pa.array(ids[right[j]])})
-
-    return rows.groupBy("pair").applyInArrow(compare, "a long, b long")
+        a, b = [], []
+        for i in left:
+            apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            hit = right[(7 * apart <= n[right] + n[i]) & (label[right] != label[i])]
+            a += [ids[i]] * len(hit)
+            b += ids[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = rows.groupBy("pair").applyInArrow(compare, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) that connect all documents of ``classes`` (id, n) with similar sets.
+    """Links (a, b) that connect all documents of ``classes`` (id, n, sketch) with similar sets.
 
     Not every similar pair is listed, but each is connected.
     """
@@ -232,16 +282,8 @@ def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id:
     # Step 1: of the hubs of its buckets, the one that a set meets most often.
     met = buckets.where("hub != id").groupBy("id", "hub").agg(F.count("*").alias("n"))
     best = stored(met.groupBy("id").agg(F.min_by("hub", F.struct((-F.col("n")).alias("n"), "hub")).alias("hub")), "best")
-    needed = buckets.select("id").distinct()
-    arrays = stored(
-        map_texts(
-            _only(texts.select("doc_id", "t"), needed, "doc_id"), "t", "s array<long>",
-            lambda: lambda batch: [[shingles(raw).view(np.int64) for raw in batch]], ["doc_id"],
-        ).withColumnRenamed("doc_id", "id").dropDuplicates(["id"]),
-        "arrays",
-    )
-    tested = best.join(arrays.select(F.col("id").alias("hub"), F.col("s").alias("h")), "hub").join(arrays, "id")
-    stars = stored(tested.where(_linked("s", "h")).select("id", "hub"), "stars")
+    tested = _possible(best.select(F.col("id").alias("a"), F.col("hub").alias("b")), classes)
+    stars = _verified(tested, texts).select(F.col("a").alias("id"), F.col("b").alias("hub"))
     # A label is the hub of a hub at most: sets with one label are connected.
     up = stars.select(F.col("id").alias("hub"), F.col("hub").alias("upper"))
     labels = stored(stars.join(up, "hub", "left").select("id", F.coalesce("upper", "hub").alias("label")), "labels")
@@ -250,8 +292,8 @@ def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id:
     around = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     touching = stored(labelled.join(around.select("token", "low"), "token").where("label != low").select("low", "label").distinct(), "touching")
     groups = touching.unionByName(touching.select("low", F.col("low").alias("label")).distinct())
-    members = needed.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    sized = arrays.select("id", F.floor(F.log(SIZE_STEP, F.greatest(F.size("s"), F.lit(1)))).cast("int").alias("step"))
+    members = buckets.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    sized = classes.select("id", F.floor(F.log(SIZE_STEP, F.col("n"))).cast("int").alias("step"))
     placed = groups.join(members, "label").join(sized, "id")
     blocks = placed.groupBy("low", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(blocks, ["low", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -265,8 +307,8 @@ def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id:
         F.expr("x.step = y.step AND x.block = y.block").alias("same"),
     )
     ends = pairs.select("pair", "low", "same", F.inline("ends")).where("side = 0 OR NOT same").drop("same")
-    rows = ends.join(placed, ["low", "step", "block"]).join(arrays, "id").select("pair", "side", "id", "label", "s")
-    return stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(_block_links(rows))
+    rows = ends.join(placed, ["low", "step", "block"]).join(classes, "id").select("pair", "side", "id", "label", "n", "sketch")
+    return stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(_verified(_block_pairs(rows), texts))
 
 
 def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,10 +321,11 @@ def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     found = stored(text_sets(documents, doc_id, text), "sets")
     rows = found.where("key IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "key")
-    classes = stored(
-        rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")).where("id IS NOT NULL"), "classes"
-    )
-    joined = links(classes.select("id", "n"), documents, found.where("shingle IS NOT NULL").select("shingle", "n"), doc_id, text)
+    classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
+    # A repeated id stands for one of its texts here.
+    marks = found.where("key IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "n", "sketch")
+    marks = stored(_only(marks, classes.select("id"), "id").dropDuplicates(["id"]), "sketches")
+    joined = links(marks, documents, found.where("shingle IS NOT NULL").select("shingle", "n"), doc_id, text)
     roots = smallest_reachable(joined)
     by_key = stored(classes.join(roots, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "roots")
     small = by_key.count() <= BROADCAST_IDS // 4
