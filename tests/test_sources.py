@@ -234,3 +234,14 @@ def test_fingerprint_ignores_the_order_of_nested_keys(spark):
     other = spark.sql("SELECT array(named_struct('j', map('a', 2, 'b', 9), 'k', 1)) AS l, map('y', NULL, 'x', named_struct('q', 2, 'p', 1)) AS m, 1 AS a")
     hashes = [df.select(payload_hash(df.columns, df.schema)).first()[0] for df in (first, second, other)]
     assert hashes[0] == hashes[1] != hashes[2]
+
+
+def test_registered_sources_count_unreadable_payloads(spark):
+    good = '[{"full_name": "me/x", "html_url": "https://github.com/me/x", "created_at": "2026-07-27T00:00:00Z"}]'
+    tables = {"repos": payloads(spark, [good, "{broken", "no"], query=["q"] * 3), "works": payloads(spark, ["nope"], query=["q"])}
+    rows, health = registry.collect_registered(spark, tables, clock(), required=("repos",))
+    got = {r["source_key"]: (r["label"], r["unreadable"], r["ok"]) for r in health.collect()}
+    assert got == {"repos": ("GitHub", 2, True), "works": ("OpenAlex", 1, True)}
+    assert rows.where("source_key = 'works'").count() == 0
+    with pytest.raises(KeyError):
+        registry.collect_registered(spark, {"other": tables["repos"]}, clock())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import feeds, markdown
@@ -51,7 +51,7 @@ def collect_sources(
         try:
             frames[key] = source() if callable(source) else source
         except (PySparkException, ValueError, OSError) as error:
-            failures[key] = f"{type(error).__name__}: {str(error)[:300]}"
+            failures[key] = f"{type(error).__name__}: {error}"
     order = {key: i for i, key in enumerate(sources)}
     records = None
     for key, frame in frames.items():
@@ -71,6 +71,37 @@ def collect_sources(
     return records, health
 
 
+def collect_registered(
+    spark: SparkSession, payloads: Mapping[str, DataFrame], now: Column, required: tuple[str, ...] = (),
+    options: Mapping[str, Mapping[str, object]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``collect_sources`` over payload tables by registered key, with each key's label in ``health``.
+
+    ``options`` holds further arguments of a key's mapping, such as the rules of curated reports. Payloads
+    that are not JSON (rows whose ``payload`` no reader takes) cost only themselves: ``health`` counts them
+    in ``unreadable`` for payloads that are JSON documents, NULL where the payload is of another form.
+    """
+    if unknown := payloads.keys() - SOURCES.keys():
+        raise KeyError(f"no registered source: {sorted(unknown)}")
+    options = options or {}
+
+    def made(key: str) -> Callable[[], DataFrame]:
+        extra = dict(options.get(key, {}))
+        if key == "hub_datasets":
+            extra.setdefault("kind", "datasets")
+        return lambda: SOURCES[key][1](payloads[key], now=now, **extra)
+
+    records, health = collect_sources(spark, {key: made(key) for key in payloads}, required)
+    labels = spark.createDataFrame([(key, SOURCES[key][0]) for key in payloads], "source_key string, label string")
+    counted = None
+    for key, table in payloads.items():
+        is_json = "payload" in table.columns and key not in ("arxiv", "arxiv_atom")
+        bad = F.count_if(F.try_parse_json("payload").isNull()) if is_json else F.lit(None).cast("bigint")
+        row = table.agg(bad.alias("unreadable")).withColumn("source_key", F.lit(key))
+        counted = row if counted is None else counted.unionByName(row)
+    return records, health.join(labels, "source_key").join(counted, "source_key")
+
+
 def check_required(health: DataFrame, kept: DataFrame) -> None:
     """Raise when a required source failed and the scan kept no record."""
     failed = [row["source_key"] for row in health.where("required and not ok").select("source_key").collect()]
