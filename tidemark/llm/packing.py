@@ -112,11 +112,11 @@ def place(pieces: DataFrame, window: int = WINDOW, tokens_per_task: int = TOKENS
         if not held:
             return
         table = pa.Table.from_batches(held)
-        columns = [table.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        order = np.lexsort((columns[3], columns[1], columns[0], -columns[2]))
-        windows, offsets, _ = best_fit_decreasing(columns[2][order].tolist(), window)
+        doc, start, length, crc = (table.column(i).fill_null(-1).to_numpy() for i in range(4))
+        order = np.lexsort((crc, start, doc, -length))
+        windows, offsets, _ = best_fit_decreasing(length[order].tolist(), window)
         first = TaskContext.get().partitionId() * _SEQUENCES_PER_TASK
-        arrays = [pa.array(c[order], type=pa.int64()) for c in columns]
+        arrays = [c.combine_chunks() for c in table.take(pa.array(order)).columns]
         arrays += [pa.array(np.array(windows, np.int64) + first), pa.array(np.array(offsets, np.int64))]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for i in range(0, len(order), 20_000):
