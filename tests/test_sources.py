@@ -80,7 +80,7 @@ def test_repos_and_releases(spark):
             "created_at": "2026-07-28T00:00:00Z", "pushed_at": "2026-07-28T01:00:00Z", "owner": {"login": "O"}, "topics": ["t"], "language": "Python", "license": {"spdx_id": "MIT"}}
     (row,) = feeds.repo_records(payloads(spark, [{"items": [repo, {"full_name": "x/y"}]}], query="q"), clock()).collect()
     assert row["metrics"] == {"stars": 7.0} and row["artifact_urls"] == ["https://github.com/o/r", "https://h"] and row["organizations"] == ["O"]
-    assert len(row["summary"]) <= 703 and row["facets"]["license"] == ["MIT"] and row["event_kind"] == "published"
+    assert len(row["summary"]) == 999 and row["facets"]["license"] == ["MIT"] and row["event_kind"] == "published"
     release = lambda **x: {"tag_name": "v1", "name": "", "html_url": "https://g/r", "published_at": "2026-07-28T00:00:00Z", "body": "b", **x}
     bodies = [[release(), release(tag_name="v2", draft=True), release(tag_name="v0", published_at="2026-07-01T00:00:00Z"), release(tag_name="")]]
     (rel,) = feeds.release_records(payloads(spark, bodies, repo="o/r"), clock()).collect()

@@ -17,6 +17,7 @@ GENERIC_LABELS = (
 # Fixed value: first words of a trailing note that is not a publisher.
 NOTE_WORDS = ("gated", "preview", "note", "see", "visual", "text")
 
+# Markup that cells and headings carry.
 _ANCHOR = r"""(?i)<a\s+name=['"]?[^'">]*['"]?\s*>\s*</a>"""
 _LINK = r"\[([^\]]*)\]\([^)\s]+[^)]*\)"
 # Fixed value: pictograph and arrow blocks dropped from headings.
@@ -25,20 +26,20 @@ _PICTOGRAPHS = (
 )
 
 
+def _without_tags(source: Column) -> Column:
+    """Text without anchors and tags, link labels kept; NULL gives an empty string."""
+    text = F.regexp_replace(F.coalesce(source, F.lit("")), _ANCHOR, "")
+    return F.regexp_replace(F.regexp_replace(text, _LINK, "$1"), "<[^>]+>", " ")
+
+
 def clean_cell(cell: Column) -> Column:
     """A table cell without markdown and HTML, link labels kept."""
-    text = F.regexp_replace(F.coalesce(cell, F.lit("")), _ANCHOR, "")
-    text = F.regexp_replace(text, _LINK, "$1")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    return squash(F.translate(text, "*`", ""))
+    return squash(F.translate(_without_tags(cell), "*`", ""))
 
 
 def clean_heading(heading: Column) -> Column:
     """A heading without markdown, HTML, pictographs and edge punctuation."""
-    text = F.regexp_replace(F.coalesce(heading, F.lit("")), _ANCHOR, "")
-    text = F.regexp_replace(text, _LINK, "$1")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    text = F.regexp_replace(text, _PICTOGRAPHS, "")
+    text = F.regexp_replace(_without_tags(heading), _PICTOGRAPHS, "")
     text = F.replace(F.replace(text, F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
     return F.btrim(squash(F.replace(text, F.lit("#"), F.lit(""))), F.lit(" .:-"))
 

@@ -163,9 +163,9 @@ def dedupe_overlap(reports: DataFrame, catalogue: DataFrame, position: str = "po
 
 
 # Identifier shapes and the hub paths that are not repositories.
-DOI = r"""(?U)(10\.[0-9]{4,9}/[^\s"'<>]+)"""
-ARXIV = r"(?i)arxiv\.org/(?:abs|pdf|html)/([0-9]{4}\.[0-9]{4,5})"
-HUB_PAPER = r"(?i)huggingface\.co/papers/([0-9]{4}\.[0-9]{4,5})"
+DOI = r"""(?U)(10\.\d{4,9}/[^\s"'<>]+)"""
+ARXIV = r"(?i)arxiv\.org/(?:abs|pdf|html)/(\d{4}\.\d{4,5})"
+HUB_PAPER = r"(?i)huggingface\.co/papers/(\d{4}\.\d{4,5})"
 HUB_REPO = r"(?iU)huggingface\.co/(?:datasets/|models/)?([A-Za-z0-9][\w.\-]*/[\w.\-]+)"
 GIT_REPO = r"(?iU)github\.com/([A-Za-z0-9][\w.\-]*/[\w.\-]+)"
 HUB_RESERVED = ("papers", "collections", "spaces", "blog", "docs", "api")

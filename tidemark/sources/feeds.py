@@ -46,7 +46,7 @@ DIGEST = Limits(abstract=1400, description=700, card=900, notes=800, authors=24,
 EVENT_KINDS = {"new": "published", "cross": "cross-listed", "replace": "updated", "replace-cross": "updated"}
 
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
-_PAPER_ID = r"([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?"
+_PAPER_ID = r"(\d{4}\.\d{4,5})(?:v\d+)?"
 _ANNOUNCE = r"(?iU)^arXiv:(\S+)\s+Announce Type:\s*([\w-]+)\s*"
 _ABSTRACT = r"(?is)Abstract:\s*(.*)"
 

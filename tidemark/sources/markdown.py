@@ -26,7 +26,7 @@ CURATED_LIST, CURATED_REPORT = "Survey", "Survey Report"
 HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*#*$"
 DIVIDER = r"(?U)^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
 DATE_HEADERS = ("date", "year", "released", "release")
-FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+FILE_DATE = r"(\d{4}-\d{2}-\d{2})"
 LEVELS = range(1, 7)
 
 
