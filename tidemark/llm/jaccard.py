@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by PartEnum signatures, and the groups that its links form.
 
 A document's set holds its distinct word shingles. For each band of set sizes the domain of shingles is cut
-into as many parts as the band's largest set has shingles; what a set holds of a part is a signature. Two
+into twice as many parts as the band's largest set has shingles; what a set holds of a part is a signature. Two
 sets with 100 * |A and B| >= 75 * |A or B| differ in at most (|A| + |B|) / 7 <= |A| / 3 =: k shingles, so in
 at most k parts. A set with more than k filled parts therefore shares a signature with its partner, even
 among its k + 1 rarest ones, because both order signatures alike; sets with fewer filled parts give all
@@ -15,6 +15,7 @@ Links are then found in two steps, neither of which lists the pairs of a bucket:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import broadcast_if_small, stored
 from .common import map_texts, quoted, spaced_words, text_bytes
 from .components import smallest_reachable
 
 SHINGLE = 5
-#: A link needs NUMERATOR * |union| <= 100 * |intersection|; the bounds below are those of 75.
+#: A link needs PERCENT * |union| <= 100 * |intersection|; the bounds above are those of 75.
 PERCENT = 75
 #: Entries, 16 bytes each, of the list of frequent shingles. It only orders signatures: any list, an empty
 #: one too, gives the same links.
 FREQUENT = 200_000
+#: Shingles, 8 bytes each, that a task holds at a time to find the common ones among them.
+POOL = 2 << 20
 #: Ids, 8 bytes each, that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts of a band are 2^FINER times its largest size. More parts leave more of them filled, so the k + 1
+#: rarest signatures are a smaller share of a set's, and common passages stay out of them.
+FINER = 1
 #: Sets in one block of the second step.
 BLOCK = 256
 #: Sizes in one class of blocks lie within this ratio.
@@ -83,19 +89,19 @@ def signatures(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
             # Small sets: every shingle is a part of its own, all of them filled.
             sums, rare, empty = found, usual, 0
         else:
-            part = (found * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - b)
+            part = (found * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - b - FINER)
             order = np.argsort(part, kind="stable")
             part = part[order]
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             sums = np.add.reduceat(_mix(found[order]), first) + part[first]
             rare = np.minimum.reduceat(usual[order], first)
-            empty = (1 << b) - len(first)
+            empty = (1 << b + FINER) - len(first)
         tokens = _mix(sums ^ np.uint64(b * 0x51ED270B + 1))
         if len(tokens) > differ:
             keep = np.lexsort((tokens, rare))[: differ + 1]
             out.append(tokens[keep])
         else:
-            filled = np.zeros(1 << b, bool)
+            filled = np.zeros(1 << b + FINER, bool)
             filled[part[first].astype(np.int64)] = True
             out += [tokens, _mix(np.flatnonzero(~filled).astype(np.uint64) ^ np.uint64(b << 40))] if empty else [tokens]
     return np.concatenate(out)
@@ -136,7 +142,16 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, marks, seen, pool = [], [], [], set(), []
+            sizes, keys, marks, seen, pool, held = [], [], [], set(), [], 0
+            usual, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+            def count_pool() -> None:
+                which, n = np.unique(np.concatenate(pool), return_counts=True)
+                common = n >= max(3, 0.002 * len(pool))
+                usual.append(which[common].view(np.int64))
+                times.append(n[common].astype(np.int64))
+                pool.clear()
+
             for raw in text_bytes(batch.column(1)):
                 found = shingles(raw)
                 key = xxhash.xxh3_128_digest(found.tobytes())
@@ -146,15 +161,20 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if key not in seen and len(found):
                     seen.add(key)
                     pool.append(found)
-            usual, times = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.empty(0, np.uint64),) * 2
-            common = times >= max(3, 0.002 * len(pool))
-            usual, times = usual[common].view(np.int64), times[common]
+                    held += len(found)
+                if held > POOL:
+                    count_pool()
+                    held = 0
+            if pool:
+                count_pool()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(sizes), pa.int64())],
                 names=["doc_id", "n", "key", "sketch", "shingle"],
             )
+            which, n = np.concatenate(usual), np.concatenate(times)
+            empty = pa.nulls(len(n), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(usual), batch.column(0).type), pa.array(times.astype(np.int64)), pa.nulls(len(usual), pa.binary()), pa.nulls(len(usual), pa.binary()), pa.array(usual)],
+                [pa.nulls(len(n), batch.column(0).type), pa.array(n), empty, empty, pa.array(which)],
                 names=["doc_id", "n", "key", "sketch", "shingle"],
             )
 
@@ -238,21 +258,42 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _block_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of two blocks that sketches don't rule out; ``rows`` has pair (of blocks), side, id, label, n, sketch."""
 
-    def compare(table: pa.Table) -> pa.Table:
-        side, ids, label, n = (table.column(c).to_numpy() for c in ("side", "id", "label", "n"))
-        sketches = table.column("sketch").to_pylist()
+    names = ["side", "id", "label", "n", "sketch"]
+
+    def compare(part: pa.Table, a: list, b: list) -> None:
+        side, ids, label, n = (part.column(c).to_numpy() for c in names[:4])
+        if label.min() == label.max():
+            return
+        sketches = part.column("sketch").to_pylist()
         bits = _folded(sketches, min(map(len, sketches)))
         left = np.flatnonzero(side == 0)
-        right = left if (side == 0).all() else np.flatnonzero(side == 1)
-        a, b = [], []
+        right = left if len(left) == len(side) else np.flatnonzero(side == 1)
         for i in left:
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
             hit = right[(7 * apart <= n[right] + n[i]) & (label[right] != label[i])]
             a += [ids[i]] * len(hit)
             b += ids[hit].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = rows.groupBy("pair").applyInArrow(compare, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of a pair of blocks that may go on in the next batch
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not held.num_rows:
+                continue
+            pair = held.column("pair").to_numpy()
+            starts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist()]
+            if batch is None:
+                starts.append(held.num_rows)
+            a, b = [], []
+            for start, end in zip(starts, starts[1:]):
+                compare(held.slice(start, end - start), a, b)
+            held = held.slice(starts[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = rows.select("pair", *names).repartition("pair").sortWithinPartitions("pair")
+    found = ordered.mapInArrow(run, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -287,16 +328,19 @@ def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id:
     # A label is the hub of a hub at most: sets with one label are connected.
     up = stars.select(F.col("id").alias("hub"), F.col("hub").alias("upper"))
     labels = stored(stars.join(up, "hub", "left").select("id", F.coalesce("upper", "hub").alias("label")), "labels")
-    # Step 2: labels that meet in a bucket, around its smallest label.
-    labelled = buckets.select("token", "id").join(labels, "id", "left").select("token", F.coalesce("label", "id").alias("label"))
+    # Step 2: the ids of buckets with several labels, gathered around each bucket's smallest label.
+    labelled = buckets.select("token", "id").join(broadcast_if_small(labels, BROADCAST_IDS // 4), "id", "left").select("token", "id", F.coalesce("label", "id").alias("label"))
     around = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    touching = stored(labelled.join(around.select("token", "low"), "token").where("label != low").select("low", "label").distinct(), "touching")
-    groups = touching.unionByName(touching.select("low", F.col("low").alias("label")).distinct())
-    members = buckets.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    sized = classes.select("id", F.floor(F.log(SIZE_STEP, F.col("n"))).cast("int").alias("step"))
-    placed = groups.join(members, "label").join(sized, "id")
-    blocks = placed.groupBy("low", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(blocks, ["low", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = labelled.join(around.select("token", "low"), "token").select("low", "id", "label").distinct()
+    met = stored(met, "met")
+    crowds = broadcast_if_small(stored(met.groupBy("low").agg(F.count("*").alias("crowd")).where(F.col("crowd") > BLOCK), "crowds"), BROADCAST_IDS // 4)
+    # Only a group of more than one block is dealt by size and hash; any other is one block.
+    step = F.when(F.col("crowd").isNotNull(), F.floor(F.log(SIZE_STEP, F.col("n")))).otherwise(0).cast("int")
+    placed = met.join(classes.select("id", "n"), "id").join(crowds, "low", "left").withColumn("step", step)
+    blocks = placed.groupBy("low", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = broadcast_if_small(stored(blocks, "blocks"), BROADCAST_IDS // 4)
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = placed.join(blocks, ["low", "step"], "left").withColumn("block", block)
     placed = stored(placed.select("low", "step", "block", "id", "label"), "placed")
     each = placed.groupBy("low", "step", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     x, y = each.alias("x"), each.alias("y")
