@@ -226,7 +226,8 @@ def _buckets(tokens: DataFrame) -> DataFrame:
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that their sketches and sizes don't rule out."""
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    narrow = broadcast_if_small(pairs, BROADCAST_IDS // 4)
+    joined = narrow.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +253,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     similar = 100 * both >= PERCENT * (F.size("s_a") + F.size("s_b") - both)
-    return stored(pairs.join(side("b"), "b").join(side("a"), "a").where(similar).select("a", "b"), "similar")
+    narrow = broadcast_if_small(pairs, BROADCAST_IDS // 4)
+    return stored(narrow.join(side("b"), "b").join(side("a"), "a").where(similar).select("a", "b"), "similar")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
