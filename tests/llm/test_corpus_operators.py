@@ -295,6 +295,17 @@ def test_held_out_accuracy(spark):
     assert right / 300 >= 0.95
 
 
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark):
+    # Half of the toxic texts hold no toxic word, so one in 19 clean texts is toxic: far below the threshold.
+    toxic, clean = [t for _, t, y in labelled(13, 1200) if y], [t for _, t, y in labelled(14, 3600) if not y]
+    rows = list(enumerate(toxic[:150] + clean[:150] + clean[150:2700]))
+    df, labels = table(spark, rows), table(spark, [(i, int(i < 300)) for i, _ in rows], "doc_id long, toxic int")
+    probe = table(spark, [(1, clean[-1])])
+    for most in (400, 6000):
+        model = toxicity.fit(df, labels, max_docs=most)
+        assert 0.02 < toxicity.score_toxicity(probe, model).first().score < 0.12
+
+
 def test_scores_of_odd_rows(spark):
     model = toxicity.train([(t, y) for _, t, y in labelled(12, 200)])
     df = table(spark, [(1, None), (2, ""), (3, " \n"), (4, "x" * 100_000), (4, "x" * 100_000)]).withColumn("Score", F.lit(2))

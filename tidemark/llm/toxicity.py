@@ -138,14 +138,17 @@ def _stems_hold(word: str, telling: dict[str, int]) -> bool:
     )
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last one is the intercept."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton steps; the last one is the intercept.
+
+    A row counts as often as ``counts`` says.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         ridge = 1e-3 * np.eye(len(w))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (counts * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -157,11 +160,16 @@ def _vector(features: tuple[float, ...]) -> list[float]:
     return [first, second, third, share, float(first >= 3), float(second >= 3)]
 
 
-def train(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel:
-    """A model from (text, label) pairs. Without a text of either label it always gives their share."""
-    prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
-    if not rows or prior in (0.0, 1.0):
-        return ToxicityModel(b"", b"", (), prior)
+def train(rows: list[tuple[str, int]], seed: int = 7, share: float | None = None) -> ToxicityModel:
+    """A model from (text, label) pairs. Without a text of either label it always gives their share.
+
+    ``share`` is the toxic share of the texts that the pairs were sampled from, by default that of the pairs.
+    Scores are calibrated to it, whatever the share in the sample.
+    """
+    sampled = sum(y for _, y in rows) / len(rows) if rows else 0.0
+    if sampled in (0.0, 1.0):
+        return ToxicityModel(b"", b"", (), sampled)
+    prior = sampled if share is None else share
     rng = np.random.default_rng(seed)
     held = rng.random(len(rows)) < CALIBRATION_PERCENT / 100
     parts = {y: [t for (t, label), h in zip(rows, held) if label == y and not h] for y in (0, 1)}
@@ -180,7 +188,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel:
     if len({y for _, y in fit}) < 2:
         fit = rows
     x = np.array([_vector(scorer.features(t.encode())) for t, _ in fit])
-    weights = _fit_logistic(x, np.array([float(y) for _, y in fit]))
+    y = np.array([float(y) for _, y in fit])
+    weights = _fit_logistic(x, y, np.where(y == 1, prior / sampled, (1 - prior) / (1 - sampled)))
     return ToxicityModel(common, toxic, tuple(float(w) for w in weights), prior)
 
 
@@ -191,7 +200,8 @@ def fit(
     """A model from a bounded sample of labelled documents, half of them toxic where there are enough.
 
     Labels without an id or value and documents without text are skipped; of repeated labels the larger
-    counts. The sample is the same at every run and for every partitioning.
+    counts. The sample is the same at every run and for every partitioning; the scores are calibrated to the
+    toxic share of all labels, so the size of the table does not move them.
     """
     wanted = (
         labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("y"))
@@ -207,7 +217,7 @@ def fit(
     # At most 2 * max_docs ids and flags, a few hundred kB.
     found = texts.join(F.broadcast(chosen), "id").select("t", "y", "h", "id")
     rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("h", "id", "t").limit(max_docs // 2).collect()]
-    return train([(r.t, r.y) for r in rows])
+    return train([(r.t, r.y) for r in rows], share=wanted.agg(F.avg("y")).first()[0])
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
