@@ -262,6 +262,23 @@ def test_pages_of_a_host_vote(spark):
     assert html_extract.extract_pages(df.where("false")).count() == 0
 
 
+RUN = "A sentence of the article that is of some length and runs on. "
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><h1>Head</h1><p>Lead.</p><div class='body'><p>{RUN * 9}</p></div><p>End.</p></article>", ["Head", "Lead.", (RUN * 9).strip(), "End."]),
+    (f"<main><section class='intro'><p>{RUN}</p></section><section class='details'><p>{RUN * 9}</p></section></main>", [RUN.strip(), (RUN * 9).strip()]),
+    (f"<main><p>Top.</p><article class='post'><p>Lead.</p><div><p>{RUN * 9}</p></div></article></main>", ["Lead.", (RUN * 9).strip()]),
+    (f"<div class='page'><h1>Head</h1><p><a href='/'>All posts</a></p><div class='body'><p>{RUN * 9}</p></div><div class='x'><p>Beside.</p></div><p>End.</p></div>", ["Head", (RUN * 9).strip(), "End."]),
+])
+def test_text_beside_an_inner_container_stays(spark, page, want):
+    short = page.replace(RUN * 9, RUN)  # a page where the inner container alone would not win
+    rows = [(i, "http://a/", f"<body>{page}</body>") for i in range(4)] + [(9, "http://a/", f"<body>{short}</body>"), (10, None, f"<body>{page}</body>")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[10] == "\n\n".join(want) and html_extract.Page(f"<body>{page}</body>").text(None) == got[0]
+    assert got[9] == "\n\n".join(RUN.strip() if t == (RUN * 9).strip() else t for t in want)
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<p>a<p class='notice'>cookies<p>b", "a\n\nb"), ("<div><nav>menu</div><p>text", "text"), ("<nav><ul><li>a<li>b</ul></nav><p>c", "c"),
     ("a < b &lt; c <br> d", "a < b < c d"), ("<!-- x", ""), ("<p>&nbsp;&#x41;</p>", "A"), ("<article class='comment'><p>x</p></article><article><p>main</p></article>", "main"),

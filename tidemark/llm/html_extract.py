@@ -2,7 +2,7 @@
 
 Every page's containers are scored by their running text. The best ones vote for their generalised path of
 tags and classes, Spark sums the votes per host, and every page is extracted again from the container
-under its host's winning path.
+under its host's winning path, or from the article or main element around it.
 """
 
 from __future__ import annotations
@@ -43,6 +43,9 @@ SKIPPED_NAMES = frozenset(
 #: These are headers of the page unless they stand inside the article.
 PAGE_HEADER_NAMES = frozenset(["header", "head"])
 CONTAINERS = frozenset("article main section div td body".split())
+#: Containers that a page itself declares to be the text, and a path that goes on inside one.
+WHOLE = ("article", "main")
+INSIDE_WHOLE = r"(?s)^((?:.*>)?(?:article|main)(?:\.[^>]*)?)>.*$"
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""",
@@ -188,7 +191,7 @@ class Page:
                     key = _step(self.containers[container][2] if container >= 0 else 0, label)
                     self.containers.append((label, container, key))
                     container = len(self.containers) - 1
-                stack.append((tag, container, inside or tag in ("article", "main")))
+                stack.append((tag, container, inside or tag in WHOLE))
         self._flush(stack[-1][1])
 
     @staticmethod
@@ -240,8 +243,21 @@ class Page:
         best = sorted(range(len(scores)), key=lambda i: (-scores[i], i))[:VOTES_PER_PAGE] if total else []
         return [(self.path(i), scores[i] / total) for i in best if scores[i]]
 
+    def _around(self, container: int) -> list[int]:
+        """A container and those around it, from the inside out."""
+        found = []
+        while container >= 0:
+            found.append(container)
+            container = self.containers[container][1]
+        return found
+
     def text(self, winner: int | None) -> str:
-        """Blocks under the winning path; where a page has none of it, under its own best container."""
+        """Blocks under the winning path; where a page has none of it, under its own best container.
+
+        A container inside an article or main element stands for all of it. Without such an element, blocks
+        that stand directly in a container around it, mostly without links, belong to the text as well; other
+        containers beside it do not.
+        """
         chosen = {i for i, (*_, key) in enumerate(self.containers) if key == winner} if winner is not None else set()
         if not chosen:
             scores = self.scores()
@@ -249,11 +265,18 @@ class Page:
                 chosen = {max(range(len(scores)), key=lambda i: (scores[i], -i))}
         if not chosen:
             return "\n\n".join(t for t, *_ in self.blocks)
+        wholes, direct = set(), set()
+        for i in chosen:
+            around = self._around(i)
+            whole = next((c for c in around if self.containers[c][0].split(".")[0] in WHOLE), None)
+            wholes.add(i if whole is None else whole)
+            if whole is None:
+                direct.update(around[1:])
         # A container's number is above its parent's, so one pass settles all.
         inside = []
         for i, (_, parent, _) in enumerate(self.containers):
-            inside.append(i in chosen or parent >= 0 and inside[parent])
-        return "\n\n".join(t for t, c, _ in self.blocks if c >= 0 and inside[c])
+            inside.append(i in wholes or parent >= 0 and inside[parent])
+        return "\n\n".join(t for t, c, linked in self.blocks if c >= 0 and (inside[c] or c in direct and 2 * linked < len(t)))
 
 
 def host_of(url: str):
@@ -264,7 +287,7 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     """(host, path, votes) of the container path with most votes of each host.
 
     Votes are summed before they are shuffled, so a host of any size is a few rows per task. Equal votes
-    go to the smaller path.
+    go to the smaller path. A winner inside an article or main element gives the path of the nearest one.
     """
     rows = pages.select(host_of(quoted(url)).alias("host"), F.col(quoted(html)))
 
@@ -281,7 +304,7 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
     votes = rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     best = F.min_by("path", F.struct((-F.col("votes")).alias("v"), "path"))
-    return votes.groupBy("host").agg(best.alias("path"), F.max("votes").alias("votes"))
+    return votes.groupBy("host").agg(F.regexp_replace(best, INSIDE_WHOLE, "$1").alias("path"), F.max("votes").alias("votes"))
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
