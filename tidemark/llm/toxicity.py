@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, one on ordinary and one on toxic text. A
-window that the toxic dictionary compresses shorter than the ordinary one speaks for toxicity; how far
-is calibrated on labelled texts that trained neither dictionary.
+One zstandard dictionary is trained on ordinary labelled text; the toxic one is that dictionary behind a
+list of words (see the README for what this leaves out). A window that the toxic dictionary compresses
+shorter than the ordinary one speaks for toxicity; how far is calibrated on labelled texts that trained
+neither dictionary.
 
 Both dictionaries end in the same ordinary text, so on ordinary windows the lengths agree and their
 difference comes from what only the toxic one holds: the words that labelled toxic texts have in excess.
