@@ -234,6 +234,26 @@ def test_damaged_archives_say_so(damage, says):
     assert says in rows[-1]["error"] or "gzip member" in rows[-1]["error"] or "longer" in rows[-1]["error"]
 
 
+@pytest.mark.parametrize("damage", [lambda b: b[:-9], lambda b: b[: len(b) // 2], lambda b: b"", lambda b: b + b"garbage"])
+def test_round_trip_fails_on_damaged_archives(spark, monkeypatch, damage):
+    write = warc.write_archives
+
+    def damaged(*args):
+        archives = write(*args)
+        path = archives.first().path.removeprefix("file:")
+        with open(path, "rb") as f:
+            data = f.read()
+        with open(path, "wb") as f:
+            f.write(damage(data))
+        return archives
+
+    df = table(spark, [(1, "http://a", "x" * 900), (2, "http://b", "y" * 900)], "page_id long, url string, html string").coalesce(1)
+    assert warc.round_trip(spark, df).count() == 2
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="warc.gz"):
+        warc.round_trip(spark, df).collect()
+
+
 def test_long_records_are_read_in_steps():
     payload = bytes(range(256)) * 20_000
     data = warc.gzip_member(warc.record_bytes("urn:page:1", None, payload)) * 2

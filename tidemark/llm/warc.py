@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -248,9 +249,13 @@ def write_archives(
 RECORDS = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, error string"
 
 
-def read_archives(archives: DataFrame, with_payload: bool = False, batch_rows: int = 500) -> DataFrame:
-    """The records of all archives in ``path``, one archive a task, each read once from start to end."""
-    paths = archives.select("path").repartition(max(1, archives.count()))
+def read_archives(archives: DataFrame, with_payload: bool = False, batch_rows: int = 500, whole: bool = False) -> DataFrame:
+    """The records of all archives in ``path``, one archive a task, each read once from start to end.
+
+    With ``whole`` the job fails on a damaged record, and on an archive with other than the ``records`` that
+    its row counts. Otherwise a damaged record is the last row of its archive and has an ``error``.
+    """
+    paths = archives.select("path", *["records"] * whole).repartition(max(1, archives.count()))
     names = [f.split()[0] for f in RECORDS.split(", ")]
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
 
@@ -260,19 +265,25 @@ def read_archives(archives: DataFrame, with_payload: bool = False, batch_rows: i
 
         rows: list[dict] = []
         for b in batches:
-            for uri in b.column(0).to_pylist():
+            for uri, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist() if whole else itertools.repeat(None)):
                 fs, path = open_folder(uri)
+                read = 0
                 with fs.open_input_stream(path, compression=None) as source:
                     for row in read_records(source, with_payload):
+                        if whole and row["error"]:
+                            raise BadRecord(f"record {read} of {uri}: {row['error']}")
+                        read += 1
                         rows.append(row)
                         if len(rows) >= batch_rows:
                             yield batch(rows)
                             rows = []
+                if whole and read != records:
+                    raise BadRecord(f"{uri} has {read} records, its manifest counts {records}")
         yield batch(rows)
 
     return paths.mapInArrow(run, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages written to archives in the shared folder and read back."""
-    return read_archives(write_archives(pages, scratch(spark, "warc")))
+    """Pages written to archives in the shared folder and read back; the job fails where a record is lost or damaged."""
+    return read_archives(write_archives(pages, scratch(spark, "warc")), whole=True)
