@@ -85,6 +85,18 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(map(str, blocks)) == sorted(map(str, whole))
 
 
+def test_blocks_are_scanned_one_at_a_time(spark, monkeypatch):
+    items = [(i, t) for i, t in enumerate(texts(2, 12, ["a", "B", "c"], 14))]
+    bench = table(spark, items + [(99, "a b c a b c")] * 300, "item_id long, text string")
+    df = table(spark, list(enumerate(texts(3, 30, ["a", "B", "c"], 80))) + [(3, "a b c a b c")] * 2).withColumns({"odd col": F.lit(1)})
+    whole, sizes, scan = decontaminate.decontaminate(df, bench).collect(), [], decontaminate._scan
+    monkeypatch.setattr(decontaminate, "_scan", lambda rows, items, *a: sizes.append(len(items)) or scan(rows, items, *a))
+    out = decontaminate.decontaminate(df, bench, block_bytes=60)
+    assert len(sizes) > 3 and max(sizes) <= 13  # copies of an item count once
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole))
+
+
 def test_decontamination_without_items_or_rows(spark):
     bench = table(spark, [], "item_id long, text string")
     out = decontaminate.decontaminate(table(spark, [(1, "a b")]), bench).collect()

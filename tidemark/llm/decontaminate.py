@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.storage import stored
 from .common import folded_word_spans, folded_words, quoted, text_bytes, without
 from .phrases import PhraseAutomaton
 
@@ -32,20 +33,44 @@ def item_windows(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
-    """The items in lists whose text has about ``block_bytes``; at least one list."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL")
+def _items(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct items that have a text, and in how many blocks of about ``block_bytes`` they are scanned."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, ceil(total / block_bytes))
+    return items, max(1, ceil(total / block_bytes))
+
+
+def _collected(items: DataFrame) -> list[tuple[str | None, bytes]]:
+    return [(r.item, r.text.encode()) for r in items.collect()]
+
+
+def _by_blocks(rows: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """What ``_scan`` gives for all items, with one block in memory at a time.
+
+    Each block leaves a stored table of the rows it hits. They meet by a row number, for which the rows are
+    stored once.
+    """
+    rows = stored(rows.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    items = stored(items, "items")
+    names = rows.columns[-6:-1]
+    found = None
     for i in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i)
-        yield [(r.item, r.text.encode()) for r in block.collect()]
+        block = _collected(items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == i))
+        hits = stored(_scan(rows.select("_number", *names), block, window, True, False).where("n_hit > 0").select("_number", "items", "spans"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    every = lambda name: F.flatten(F.collect_list(name)).alias(name)
+    found = found.groupBy("_number").agg(every("items"), every("spans"))
+    alone = [c for c in rows.columns if c not in ("_number", "items", "spans")]
+    filled = [F.coalesce(found[c], rows[c]).alias(c) for c in ("items", "spans")]
+    joined = rows.join(found, rows["_number"] == found["_number"], "left").select(*[rows[quoted(c)] for c in alone], *filled)
+    return _scan(joined, [], window, False, True)
 
 
 def _scan(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, first: bool, last: bool) -> DataFrame:
     """One block of items over rows that end in columns (_text, n_words, n_hit, items, spans).
 
-    Between blocks ``spans`` counts words; the last block turns them into code points.
+    ``spans`` counts words until the ``last`` scan turns them into code points. Unless it is the ``first``, a
+    scan adds to the items and spans that the rows have.
     """
     shared = rows.sparkSession.sparkContext.broadcast(items)
     schema = rows.schema
@@ -60,7 +85,7 @@ def _scan(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, f
             for raw, (ids, spans) in zip(text_bytes(texts), before):
                 words = folded_words(raw)
                 found = automaton.find(words)
-                if found:
+                if found or not first:
                     ids = sorted({*ids, *(i for *_, named in found for i in named if i is not None)})
                     spans = merged([(x["start"], x["end"]) for x in spans] + [(a, b) for a, b, _ in found])
                     spans = [{"start": a, "end": b} for a, b in spans]
@@ -104,7 +129,8 @@ def decontaminate(
     ``keep`` names the columns that stay; columns with a result's name are replaced. NULL and empty
     texts have no words and no hits; an item without words never occurs; an item without an id hits but
     is not named; repeated rows each get their result. A benchmark of more than ``block_bytes`` is
-    scanned in blocks, one after another over the same rows, so that each broadcast is bounded.
+    scanned in blocks, one after another over the same rows, each collected after the one before it has
+    left a stored table of its hits; a single item is never split.
     """
     names = T.StructType.fromDDL(RESULTS).names
     kept = [c for c in without(documents, names) if keep is None or c in keep]
@@ -112,7 +138,6 @@ def decontaminate(
     rows = documents.select(
         *[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias("_text"), *[c.alias(n) for c, n in zip(empty, names)]
     )
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
-    for i, items in enumerate(blocks):
-        rows = _scan(rows, items, window, i == 0, i == len(blocks) - 1)
+    items, blocks = _items(benchmark, item, item_text, block_bytes)
+    rows = _scan(rows, _collected(items), window, True, True) if blocks == 1 else _by_blocks(rows, items, blocks, window)
     return rows.drop("_text")
