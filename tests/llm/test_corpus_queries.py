@@ -98,6 +98,13 @@ def test_pipeline_equals_plain_steps(spark, tables):
     assert {r.doc_id: r.doc_tokens for r in rows} == sizes and sum(r.length for r in rows) == sum(sizes.values())
 
 
+def test_quality_stage_keeps_what_the_sql_keeps(spark, tables):
+    docs = queries.table(spark, SF, "documents")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, SF).collect())
+    want = fetched(tables, f"SELECT doc_id FROM ({queries.ORACLES['op6_quality_rules']}) WHERE kept ORDER BY doc_id")
+    assert kept == [i for i, in want] and 0 < len(kept) < docs.count()
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_take_odd_rows(spark, name, stage):
     from pyspark.sql import functions as F
