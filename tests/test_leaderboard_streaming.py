@@ -148,3 +148,15 @@ def test_lookback_drops_old_rows(spark, event_files, tmp_path):
     recent = jobs.lookback(stream(spark, path), "ts", F.lit(str(clock)).cast("timestamp"), live_hours=48.0)
     jobs.append_files(recent.select("id"), out, str(tmp_path / "p")).awaitTermination()
     assert spark.read.parquet(out).count() == sum(r[1] >= clock - timedelta(hours=48) for r in rows)
+
+
+def test_no_event_of_a_long_table_is_late(spark, tmp_path):
+    from tidemark.catalog import streams
+
+    ts = F.expr("timestamp_ntz'2019-01-01 00:00:00' + make_interval(0, 0, 0, CAST((id * 37) % 2000 AS INT))")
+    events = spark.range(2000).select(
+        F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") * 37 % 2000).alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value")
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert streams.x2_unique_in_window(spark, str(tmp_path)).count() == 2000
+    assert streams.x3_daily_counts(spark, str(tmp_path)).count() == 2000

@@ -23,8 +23,10 @@ def query(sql: str | None = None):
     return register
 
 
-#: Events of all files stay within this of each other, so none is late in any order of files.
-WHOLE = 24 * 366
+def _whole(spark: SparkSession, sf: str) -> int:
+    """Hours that all events stay within of each other, so none is late in any order of files."""
+    span = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
+    return (v.table(spark, sf, "events").agg(span).first()[0] or 0) // 3600 + 2
 
 
 def _events(spark: SparkSession, sf: str, files_per_batch: int = 1) -> DataFrame:
@@ -49,13 +51,13 @@ def x1_lookback(spark, sf):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def x2_unique_in_window(spark, sf):
-    unique = jobs.unique_in_window(_events(spark, sf), ["user_id", "event_type"], "ts", hours=WHOLE)
+    unique = jobs.unique_in_window(_events(spark, sf), ["user_id", "event_type"], "ts", hours=_whole(spark, sf))
     return spark.read.parquet(_run(spark, "x2", unique.select("user_id", "event_type")))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def x3_daily_counts(spark, sf):
-    counts = jobs.daily_counts(_events(spark, sf), "ts", "event_type", hours=WHOLE)
+    counts = jobs.daily_counts(_events(spark, sf), "ts", "event_type", hours=_whole(spark, sf))
     path = _run(spark, "x3", counts, jobs.replace_batches, mode="update")
     return jobs.latest_state(spark, path, ["day", "event_type"])
 
