@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import scratch
-from . import decontaminate, html_extract, jaccard, licenses, packing, quality, sharding, token_counts, toxicity, warc
+from . import decontaminate, html_extract, jaccard, licenses, merkle, packing, quality, sharding, token_counts, toxicity, warc
 from .common import SPACES
 
 QUERIES, ORACLES = {}, {}
@@ -144,3 +146,66 @@ def op10_toxicity(spark, sf):
     return scored.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
     )
+
+
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: Levels that the SQL twin unrolls, over rows of a source and over sources.
+SQL_LEVELS, SQL_TOP_LEVELS = 7, 4
+
+
+def _merkle_sql() -> str:
+    def leaf(text):
+        return "sha256(" + " || ".join(
+            f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in [*MERKLE_FIELDS[:-1], text]
+        ) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+    steps = []
+
+    def tree(name: str, group: str, levels: int) -> None:
+        """Tables name_0, .. of nodes (group, i, d, m nodes of the level) with the digests beside them in their run."""
+        over = f"PARTITION BY {group}, i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(levels):
+            if k:
+                steps.append(f"""{name}_{k} AS (SELECT {group}, i // 16 AS i, CASE WHEN max(m) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d,
+                    (max(m) + 15) // 16 AS m FROM {name}_{k - 1} GROUP BY {group}, i // 16)""")
+            steps.append(f"""{name}_path_{k} AS (SELECT {group}, i, m, coalesce(string_agg(d, '') OVER ({over} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(d, '') OVER ({over} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_{k})""")
+
+    steps.append(f"""leaves AS (SELECT doc_id, source, {leaf("text")} AS d,
+        CASE WHEN ({crc}) % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS told FROM documents)""")
+    steps.append("""docs_0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+        count(*) OVER (PARTITION BY source) AS m FROM leaves)""")
+    tree("docs", "source", SQL_LEVELS)
+    steps.append(f"""tops_0 AS (SELECT 0 AS one, source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM docs_{SQL_LEVELS - 1})""")
+    tree("tops", "one", SQL_TOP_LEVELS)
+    joins = [f"JOIN docs_path_{k} p{k} ON p{k}.source IS NOT DISTINCT FROM t.source AND p{k}.i = t.i // {16 ** k}" for k in range(SQL_LEVELS)]
+    joins += [f"JOIN tops_path_{k} q{k} ON q{k}.i = s.i // {16 ** k}" for k in range(SQL_TOP_LEVELS)]
+    ways = [f"p{k}" for k in range(SQL_LEVELS)] + [f"q{k}" for k in range(SQL_TOP_LEVELS)]
+    steps.append(f"""f_0 AS (SELECT t.doc_id, t.d AS leaf, s.d AS subroot, (SELECT d FROM tops_{SQL_TOP_LEVELS - 1}) AS root, t.told AS acc,
+        {", ".join(f"{w}.l AS {w}l, {w}.r AS {w}r, {w}.m AS {w}m" for w in ways)}
+        FROM docs_0 t JOIN tops_0 s ON s.source IS NOT DISTINCT FROM t.source {" ".join(joins)})""")
+    for k, w in enumerate(ways):
+        steps.append(f"f_{k + 1} AS (SELECT * REPLACE (CASE WHEN {w}m > 1 THEN sha256({w}l || acc || {w}r) ELSE acc END AS acc) FROM f_{k})")
+    proof = " || ".join(f"{w}l || {w}r" for w in ways)
+    return f"""WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM f_{len(ways)}"""
+
+
+@query(_merkle_sql())
+def op13_merkle_manifest(spark, sf):
+    documents = table(spark, sf, "documents")
+    values = [F.col(c) for c in MERKLE_FIELDS]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    leaves = documents.select(
+        F.col("source").alias("grp"), F.col("doc_id").alias("ord"), merkle.row_digest(values).alias("digest"),
+        F.struct("doc_id", F.when(chosen, merkle.row_digest([*values[:-1], lowered])).alias("tampered")).alias("row"),
+    )
+    proved = merkle.prove(leaves)
+    folded = proved.withColumn("folded_root", merkle.fold("path", F.coalesce("row.tampered", "leaf")))
+    return folded.select(
+        "row.doc_id", "leaf", "subroot", "root", merkle.proof_digest("path").alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
