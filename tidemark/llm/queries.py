@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import scratch
-from . import decontaminate, html_extract, jaccard, licenses, merkle, packing, quality, sharding, token_counts, toxicity, warc
+from . import alignment, decontaminate, html_extract, jaccard, licenses, merkle, packing, quality, sharding, simhash, token_counts, toxicity, warc
 from .common import SPACES
 
 QUERIES, ORACLES = {}, {}
@@ -148,6 +148,17 @@ def op10_toxicity(spark, sf):
     )
 
 
+@query()
+def op11_simhash_groups(spark, sf):
+    return simhash.simhash_groups(table(spark, sf, "documents"))
+
+
+@query()
+def op12_token_alignment(spark, sf):
+    path = public_tokenizers.path
+    return alignment.align(table(spark, sf, "documents"), path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
 MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: Levels that the SQL twin unrolls, over rows of a source and over sources.
 SQL_LEVELS, SQL_TOP_LEVELS = 7, 4
