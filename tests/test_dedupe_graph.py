@@ -61,6 +61,32 @@ def test_merge_equals_brute_force_with_a_hot_key(spark):
         assert got == expected
 
 
+def test_copies_lend_texts_and_repeated_rows_leave_one(spark):
+    rows = [
+        record(0, title=f"{TITLE} x", summary="", venue="", published_at=hours_ago(1)),
+        record(1, title=f"{TITLE} x", summary="older text", venue="", published_at=hours_ago(2)),
+        record(2, title=f"{TITLE} x", summary="oldest", venue="Venue", published_at=hours_ago(3)),
+        record(3, title=f"{TITLE} y", summary="twice"), record(3, title=f"{TITLE} y", summary="twice"),
+        record(4, title=f"{TITLE} z", summary="alone", published_at=None),
+    ]
+    df = records(spark, rows)
+    merged = dedupe.merge_duplicates(df)
+    got = {r["title"][-1]: (r["position"], r["copies"], r["summary"], r["venue"]) for r in merged.collect()}
+    assert got == {"x": (0, 3, "older text", "Venue"), "y": (3, 2, "twice", ""), "z": (4, 1, "alone", "")}
+    assert set(df.columns) < set(merged.columns) and dedupe.merge_duplicates(df.where("false")).count() == 0
+    # Dates apart: the same key in two scans is two records.
+    dated = df.unionByName(df).withColumn("scan_date", F.when(F.col("position") < 2, F.lit("a")).otherwise(F.lit("b")))
+    assert dedupe.merge_duplicates(dated, by=("scan_date",)).count() == 4
+
+
+def test_rows_of_single_keys_are_not_shuffled(spark):
+    df = records(spark, [record(i, title=f"{TITLE} {i}") for i in range(4)])
+    plan = dedupe.merge_duplicates(df)._jdf.queryExecution().optimizedPlan().toString()
+    # The last input of the union is the path of single keys: a scan, a broadcast anti join, a projection.
+    single = plan[plan.rindex("LeftAnti") :]
+    assert "Aggregate" not in single and "Repartition" not in single and "strategy=broadcast" in plan
+
+
 def test_join_counts_with_few_hot_keys_equals_plain_join(spark):
     rng = random.Random(9)
     rows = [(i, 0 if rng.random() < 0.5 else rng.randrange(40)) for i in range(2000)]

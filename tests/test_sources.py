@@ -192,7 +192,9 @@ def test_public_projection_drops_empty_fields(spark):
     many = [record(0, authors=[f"a{i}" for i in range(20)], artifact_urls=[f"u{i}" for i in range(20)], metrics={"likes": 1.005})]
     scored = run_scan(records(spark, many), RULES, now()).scored
     body = json.loads(snapshots.public_json(scored).first()["item"])
-    assert len(body["authors"]) == 12 and len(body["artifact_urls"]) == 8
+    assert len(body["authors"]) == 20 and len(body["artifact_urls"]) == 20
+    short = json.loads(snapshots.public_json(scored, caps=snapshots.DIGEST_CAPS).first()["item"])
+    assert len(short["authors"]) == 12 and len(short["artifact_urls"]) == 8
     assert "venue" not in body and "updated_at" not in body and body["categories"] == ["benchmark"]
 
 

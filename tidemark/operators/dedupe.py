@@ -8,14 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, strings
+from ..functions.arrays import empty_strings, let, strings
 from ..functions.text import normalize, slug
 from ..functions.urls import canonical_url
-from .skew import join_counts
+from ..plans.storage import broadcast_if_small, stored
 
 # Fixed value: a title needs this many characters, spaces aside, to identify a record.
 MIN_TITLE_KEY = 24
 
+#: Texts that the freshest row with a value fills.
+FILLED = ("summary", "venue", "section")
+#: Lists that gain what copies add.
+LISTS = ("artifact_urls", "organizations", "authors", "hint_categories")
+ADDED = ("corroborating_sources", *LISTS, "metrics")
+#: Hashes of repeated keys, 8 bytes each, that may be broadcast.
+BROADCAST_HASHES = 2_000_000
+
 
 def digest(*parts: Column) -> Column:
     """SHA-256 over the parts, each closed by a unit separator."""
@@ -44,12 +52,14 @@ def freshness(df: DataFrame) -> Column:
     return F.greatest(*present) if len(present) > 1 else present[0]
 
 
+def staleness(df: DataFrame) -> Column:
+    """Ascending sort key: freshest first, undated last."""
+    return F.coalesce(-F.unix_micros(freshness(df).cast("timestamp")), F.lit(9223372036854775807))
+
+
 def fresh_first(df: DataFrame, position: str) -> Column:
     """Ascending sort key: freshest first, undated last, then input position."""
-    micros = F.unix_micros(freshness(df).cast("timestamp"))
-    return F.struct(
-        F.coalesce(-micros, F.lit(9223372036854775807)).alias("stale"), F.col(position).alias("position")
-    )
+    return F.struct(staleness(df).alias("stale"), F.col(position).alias("position"))
 
 
 def merge_duplicates(
@@ -60,89 +70,107 @@ def merge_duplicates(
     The survivor keeps its columns. Other rows contribute their source (``corroborating_sources``),
     URLs, organisations, authors, hints and the larger metric values; summary, venue and section
     come from the freshest row that has them. ``copies`` counts the merged rows. ``by`` columns
-    separate independent merges, such as one per report date.
+    separate independent merges, such as one per report date. Rows of one key and freshness go by ``position``.
 
-    No group is ever gathered row by row: survivors come from a combinable ``min_by``, and what
-    copies add is reduced to distinct values per key before it is collected. Only keys that
-    repeat take the second path; they are found on an 8-byte hash whose collisions are harmless,
-    and the most frequent ones are salted.
+    Texts are read last. Keyed rows are stored once; keys that repeat are found on 8-byte hashes, whose
+    collisions are harmless, and all other rows pass without a shuffle. Of repeated keys only row numbers
+    are aggregated: which row survives and which ones fill its empty texts. What copies add stays a long table
+    (key, field, value, first place), reduced to distinct values before it becomes lists of a result row.
     """
     keys = [*by, key]
-    filled = ("summary", "venue", "section")
-    keyed = (df if key in df.columns else with_dedupe_key(df, key)).withColumn("_order", fresh_first(df, position))
-
-    carried = [c for c in df.columns if c not in keys and c not in filled]
-    heads = keyed.groupBy(*keys).agg(
-        F.min_by(F.struct(*carried), F.col("_order")).alias("_head"),
-        F.count("*").alias("copies"),
-        *[F.expr(f"min_by({c}, _order) FILTER (WHERE {c} <> '')").alias(c) for c in filled],
+    keyed = df if key in df.columns else with_dedupe_key(df, key)
+    names = [c for c in keyed.columns if c not in keys and c not in FILLED]
+    keyed = keyed.withColumns(
+        {"_hash": F.xxhash64(*keys), "_stale": staleness(df), "_row": F.monotonically_increasing_id()}
+        | {f"_has_{c}": F.coalesce(F.col(c) != "", F.lit(False)) for c in FILLED}
     )
+    keyed = stored(keyed, "keyed")
+    repeated = stored(keyed.groupBy("_hash").count().where("count > 1").select("_hash"), "repeated")
+    few = broadcast_if_small(repeated, BROADCAST_HASHES)
+    columns = [*keys, "copies", *FILLED, *names, *ADDED]
+
+    own = {c: F.coalesce(c, F.lit("")) for c in FILLED} | {c: strings(F.col(c)) for c in LISTS}
+    none = {"copies": F.lit(1).cast("long"), "corroborating_sources": empty_strings(), "metrics": _metrics("metrics")}
+    single = keyed.join(few, "_hash", "left_anti").withColumns(own | none).select(*dict.fromkeys(columns))
+
+    copies = keyed.join(few, "_hash", "left_semi")
+    place = F.struct("_stale", position, "_row")
+    chosen = copies.groupBy(*keys).agg(
+        F.count("*").alias("copies"), F.min(place)["_row"].alias("_row"),
+        *[F.min(F.when(F.col(f"_has_{c}"), place))["_row"].alias(f"_from_{c}") for c in FILLED],
+    )
+    chosen = stored(chosen, "chosen")
+    heads = copies.join(chosen.select("copies", "_row"), "_row").drop("_hash", "_stale")
+    # Texts that the survivor lacks, from the rows that have them.
+    lent = chosen.select("_row", F.inline(F.array(*[F.struct(F.lit(c).alias("_field"), F.col(f"_from_{c}").alias("_lender")) for c in FILLED])))
+    lent = lent.where("_lender <> _row").join(copies.select(F.col("_row").alias("_lender"), *FILLED), "_lender")
+    lent = lent.groupBy("_row").agg(*[F.max(F.when(F.col("_field") == c, F.col(c))).alias(f"_lent_{c}") for c in FILLED])
+    heads = heads.join(lent, "_row", "left").drop("_row")
+    merged = heads.join(_folded(_additions(copies, keys, position), keys), keys, "left")
 
-    hashed = keyed.withColumn("_hash", F.xxhash64(*keys))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1")
-    lists = {"org": "organizations", "author": "authors", "hint": "hint_categories"}
+    def appended(base: Column, extra: Column) -> Column:
+        return F.concat(strings(base), F.array_except(strings(extra), strings(base)))
 
-    def tagged(field: str, values: Column) -> Column:
-        return F.transform(
-            strings(values),
-            lambda v: F.struct(
-                F.lit(field).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("amount")
+    non_empty_urls = F.array_remove(F.array_remove(strings(F.col("_url")), F.col("url")), "")
+    own_metrics = _metrics("metrics")
+    filled = {c: F.when(F.col(f"_has_{c}"), F.col(c)).otherwise(F.coalesce(f"_lent_{c}", F.lit(""))) for c in FILLED}
+    gained = {
+        "corroborating_sources": F.array_remove(strings(F.col("_source")), F.col("source")),
+        "artifact_urls": appended(F.col("artifact_urls"), non_empty_urls),
+        "organizations": appended(F.col("organizations"), F.array_remove(strings(F.col("_org")), "")),
+        "authors": appended(F.col("authors"), F.col("_author")),
+        "hint_categories": appended(F.col("hint_categories"), F.col("_hint")),
+        "metrics": F.coalesce(
+            F.transform_values(
+                "_metric",
+                lambda k, v: F.when(F.map_contains_key(own_metrics, k), v).otherwise(F.greatest(F.lit(0.0), v)),
             ),
-        )
+            own_metrics,
+        ),
+    }
+    return merged.withColumns(filled | gained).select(*dict.fromkeys(columns)).unionByName(single)
+
+
+def _metrics(name: str) -> Column:
+    return F.coalesce(name, F.create_map().cast("map<string,double>"))
+
+
+def _additions(copies: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """(key, field, value, first place, largest amount) of what rows of repeated keys bring along."""
+
+    def tagged(field: str, values: Column) -> Column:
+        none = F.lit(None).cast("double").alias("amount")
+        return F.transform(strings(values), lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"), none))
 
     entries = F.concat(
         tagged("source", F.array("source")),
         tagged("url", F.concat(F.array("url"), strings(F.col("artifact_urls")))),
-        *[tagged(field, F.col(c)) for field, c in lists.items()],
+        *[tagged(field, F.col(c)) for field, c in {"org": "organizations", "author": "authors", "hint": "hint_categories"}.items()],
         F.transform(
             F.coalesce(F.map_entries("metrics"), F.array().cast("array<struct<key:string,value:double>>")),
             lambda m: F.struct(F.lit("metric").alias("field"), m["key"].alias("value"), m["value"].alias("amount")),
         ),
     )
-    added = (
-        join_counts(hashed, repeated, "_hash", "_n", [position], "left_semi")
-        .select(*keys, "_order", F.posexplode(entries).alias("_at", "_entry"))
-        .select(*keys, "_order", "_at", "_entry.*")
-        .groupBy(*keys, "field", "value")
-        .agg(F.min(F.struct("_order", "_at")).alias("_first"), F.max("amount").alias("amount"))
+    place = F.struct("_stale", position, "_row", "_at")
+    listed = copies.select(*keys, "_stale", position, "_row", F.posexplode(entries).alias("_at", "_entry"))
+    return listed.groupBy(*keys, F.col("_entry.field").alias("field"), F.col("_entry.value").alias("value")).agg(
+        F.min(place).alias("_first"), F.max("_entry.amount").alias("amount")
     )
 
+
+def _folded(added: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: lists of its distinct values in order of first appearance, and its metrics."""
+
     def gathered(field: str) -> Column:
         found = F.collect_list(F.when(F.col("field") == field, F.struct("_first", "value")))
         return F.transform(F.array_sort(found), lambda x: x["value"]).alias(f"_{field}")
 
     metric_entries = F.collect_list(F.when(F.col("field") == "metric", F.struct("value", "amount")))
-    folded = added.groupBy(*keys).agg(
+    return added.groupBy(*keys).agg(
         *[gathered(f) for f in ("source", "url", "org", "author", "hint")],
         F.map_from_entries(metric_entries).alias("_metric"),
     )
 
-    merged = heads.join(folded, keys, "left").select(
-        *keys, "copies", *[F.coalesce(c, F.lit("")).alias(c) for c in filled],
-        "_head.*", "_source", "_url", "_org", "_author", "_hint", "_metric",
-    )
-
-    def appended(base: Column, extra: Column) -> Column:
-        return F.concat(strings(base), F.array_except(strings(extra), strings(base)))
-
-    non_empty_urls = F.array_remove(F.array_remove(strings(F.col("_url")), F.col("url")), "")
-    own_metrics = F.coalesce("metrics", F.create_map().cast("map<string,double>"))
-    columns = {
-        "corroborating_sources": F.array_remove(strings(F.col("_source")), F.col("source")),
-        "artifact_urls": appended(F.col("artifact_urls"), non_empty_urls),
-        "organizations": appended(F.col("organizations"), F.array_remove(strings(F.col("_org")), "")),
-        "authors": appended(F.col("authors"), F.col("_author")),
-        "hint_categories": appended(F.col("hint_categories"), F.col("_hint")),
-        "metrics": F.coalesce(
-            F.transform_values(
-                "_metric",
-                lambda k, v: F.when(F.map_contains_key(own_metrics, k), v).otherwise(F.greatest(F.lit(0.0), v)),
-            ),
-            own_metrics,
-        ),
-    }
-    return merged.withColumns(columns).drop("_source", "_url", "_org", "_author", "_hint", "_metric")
-
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in the given order.

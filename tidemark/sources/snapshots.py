@@ -66,9 +66,9 @@ def public_projection(df: DataFrame, extra: tuple[str, ...] = (), caps: dict[str
     return df.select(*extra, *[published(c).alias(c) for c in names])
 
 
-def public_json(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """The public projection as one JSON document per record; empty fields are absent."""
-    projected = public_projection(df, extra)
+def public_json(df: DataFrame, extra: tuple[str, ...] = (), caps: dict[str, int] | None = None) -> DataFrame:
+    """The public projection as one JSON document per record; empty fields are absent, lists cut only by ``caps``."""
+    projected = public_projection(df, extra, caps)
     return projected.select(*extra, F.to_json(F.struct(*[c for c in projected.columns if c not in extra])).alias("item"))
 
 
