@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +53,30 @@ def test_literal_and_table_matching_agree(spark):
     assert from_table == literal
 
 
+@pytest.mark.parametrize("broadcast", [250_000, -1])
+def test_term_table_equals_patterns(spark, monkeypatch, broadcast):
+    """Random folded texts, nine in ten of which hold one word, against a pattern per term."""
+    monkeypatch.setattr(match, "BROADCAST_WORDS", broadcast)
+    rng = random.Random(12)
+    words, joints = ["the", "c", "net", "test", "tests", "testing", "set", "ing", "s", "q", "a", "deep", "learned"], [" "] * 6 + ["#", "&", " & ", "# ", " #", "  ", "="]
+    texts = []
+    for _ in range(250):
+        line = "".join(rng.choice(words) + rng.choice(joints) for _ in range(rng.randrange(1, 9)))
+        texts.append(("the " if rng.random() < 0.9 else "") + rng.choice(["", "#"]) + line)
+    texts += [None, "", "#", "the", "c#", "#c", "c#s", "xc#"]
+    terms = ["the", "the net", "the test set", "c#", "#c", "q&a", "q & a", "c# net", "deep", "set the", "absent word", "the absent", "##", "s", "test", "learn", "the  net"]
+    rules = spark.createDataFrame([(f"k{i % 3}", i % 3, x, i) for i, x in enumerate(terms)] + [("k0", 0, "the", 0)], "category string, cat_ord int, term string, term_ord int")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, match_text string").repartition(3)
+    got = {(r["i"], r["category"], r["term"]) for r in match.match_term_table(df, rules, "i").collect()}
+    want = set()
+    for n, term in enumerate(terms):
+        folded = " ".join(term.split())
+        if re.search("[a-z0-9]", folded):
+            pattern = re.compile(rf"(?<![a-z0-9]){re.escape(folded)}(?:s|es|ed|ing)?(?![a-z0-9])")
+            want |= {(i, f"k{n % 3}", folded) for i, x in enumerate(texts) if x and pattern.search(x)}
+    assert got == want and len(want) > 300
+
+
 def test_guide_tokens():
     assert guide_tokens("vlm")[1] and "vlms" in guide_tokens("vlm")[0]
     assert guide_tokens("vision language model") == (("language",), False)

@@ -3,7 +3,7 @@
 Rule sets of configuration size become literals of one expression, so matching is a projection:
 no shuffle, no regex per term and row. The text is split into tokens once, intersected with the
 tokens that can start a match, and only terms of several words are confirmed by their pattern.
-Rule *tables* (large vocabularies) go through an equi-join on tokens instead.
+Rule *tables* (large vocabularies) go through a positional join of tokens instead.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from ..functions.arrays import (
     computed, constant, empty_strings, let, literal_map, literal_strings, ordered_union, strings,
 )
 from ..functions.text import normalize, title_case
+from ..plans.storage import broadcast_if_small, stored
 from ..rules import INFLECTIONS, NO_ANCHOR_REASON, LowValueRule, RuleSet, guide_tokens, term_pattern
 
+#: Words of rules, or places asked for, some 60 bytes each, that may be broadcast.
+BROADCAST_WORDS = 250_000
+
 _RULE = "array<struct<kind:string,ord:int,name:string,term:string,guides:array<string>,pattern:string>>"
 _HIT = "array<struct<kind:string,ord:int,name:string,term:string>>"
 
@@ -184,32 +188,85 @@ def suppress(df: DataFrame, rules: Sequence[LowValueRule], raw_col: str = "raw_t
     return judged.withColumn("suppressed", F.size("suppression_reasons") > 0)
 
 
-def match_term_table(df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "match_text") -> DataFrame:
-    """Hits of a rule *table* ``(category, cat_ord, term, term_ord)`` on folded texts.
+def _term_variants(terms: DataFrame) -> DataFrame:
+    """(variant, rule, category, cat_ord, term, term_ord, words) of folded rule terms.
 
-    One row per (record, category, term). Texts are split into distinct tokens that equi-join
-    the token every match of a term must contain; the term's pattern then confirms. The text
-    itself is joined back only for candidates, so it is shuffled once and never per token.
+    ``words`` are the term's runs of letters and digits with the forms each may take, and what has to stand before
+    it; ``lead`` and ``trail`` are characters of the term before its first and after its last run. The last run may be
+    inflected; where other characters end the term, a second variant has the inflection as a run of its own.
     """
     folded = terms.withColumn("term", normalize(F.col("term"))).where("term <> ''").dropDuplicates(["category", "term"])
-    runs = F.regexp_extract_all("term", F.lit("([a-z0-9]+)"))
-    last = F.element_at(runs, -1)
-    inner = F.when(F.col("term").endswith(last), F.slice(runs, 1, F.size(runs) - 1)).otherwise(runs)
-    longest = F.aggregate(
-        inner, F.lit(""), lambda acc, x: F.when(F.length(x) > F.length(acc), x).otherwise(acc)
+    runs, gaps = F.regexp_extract_all("term", F.lit("([a-z0-9]+)")), F.split("term", "[a-z0-9]+", -1)
+    rule = F.monotonically_increasing_id().alias("rule")
+    cut = folded.where(F.size(runs) > 0).select(rule, "category", "cat_ord", "term", "term_ord", runs.alias("runs"), gaps.alias("gaps"))
+    last, trail = F.size("runs") - 1, F.element_at("gaps", -1)
+    forms = F.array(*map(F.lit, INFLECTIONS))
+    suffixes = F.array(*[F.lit(s) for s in INFLECTIONS if s])
+
+    def word(run: Column, i: Column) -> Column:
+        inflected = F.when((i == last) & (trail == ""), F.transform(forms, lambda s: F.concat(run, s))).otherwise(F.array(run))
+        lead, end = F.when(i == 0, F.get("gaps", F.lit(0))).otherwise(""), F.when(i == last, trail).otherwise("")
+        return F.struct(inflected.alias("forms"), F.get("gaps", i).alias("gap"), lead.alias("lead"), end.alias("trail"))
+
+    words = F.transform("runs", word)
+    open_end = F.transform(words, lambda w: w.withField("trail", F.lit("")))
+    suffix = F.struct(suffixes.alias("forms"), trail.alias("gap"), F.lit("").alias("lead"), F.lit("").alias("trail"))
+    both = F.when(trail == "", F.array(words)).otherwise(F.array(words, F.concat(open_end, F.array(suffix))))
+    variants = cut.select("rule", "category", "cat_ord", "term", "term_ord", F.explode(both).alias("words"))
+    return variants.withColumn("variant", F.monotonically_increasing_id())
+
+
+def _known_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame) -> DataFrame:
+    """(row, id, pos, word, before, after, more) of every token that some rule has, with the characters around it."""
+    runs, gaps = F.regexp_extract_all(text_col, F.lit("([a-z0-9]+)")), F.split(text_col, "[a-z0-9]+", -1)
+    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), runs.alias("runs"), gaps.alias("gaps"))
+    n = F.size("runs")
+    tokens = texts.where(n > 0).select(
+        "row", "id", n.alias("n"),
+        F.posexplode(F.arrays_zip(F.col("runs").alias("word"), F.slice("gaps", 1, n).alias("before"), F.slice("gaps", 2, n).alias("after"))).alias("pos", "t"),
     )
-    inflected = F.transform(F.array(*map(F.lit, INFLECTIONS)), lambda s: F.concat(last, s))
-    escaped = F.regexp_replace("term", r"([^a-z0-9 ])", r"\\$1")
-    suffix = "|".join(s for s in INFLECTIONS if s)
-    rules = folded.where(F.size(runs) > 0).select(
-        "category", "cat_ord", "term", "term_ord",
-        F.explode(F.when(F.size(inner) == 0, inflected).otherwise(F.array(longest))).alias("_token"),
-        F.concat(F.lit("(?<![a-z0-9])"), escaped, F.lit(f"(?:{suffix})?(?![a-z0-9])")).alias("_pattern"),
+    tokens = tokens.select("row", "id", "pos", "t.word", "t.before", "t.after", (F.col("pos") < F.col("n") - 1).alias("more"))
+    return tokens.join(vocabulary, "word", "left_semi")
+
+
+#: Whether a token stands as a rule's word asks: after the same characters as in the term, and with the characters
+#: around the term that are not letters or digits themselves, which need a border beyond them.
+_STANDS = """(at = 0 OR before = gap)
+    AND (lead = '' OR endswith(before, lead) AND (length(before) > length(lead) OR pos = 0))
+    AND (trail = '' OR startswith(after, trail) AND (length(after) > length(trail) OR NOT more))"""
+
+
+def match_term_table(df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "match_text") -> DataFrame:
+    """Hits of a rule *table* ``(category, cat_ord, term, term_ord)`` on folded texts.
+
+    One row per (record, category, term). A positional phrase join: texts are split once into tokens with their
+    places, of which those are kept that occur in a rule. Every term is joined on its rarest word, as counted in
+    these texts, so frequent words are looked at only beside a rare one; for each such place the other words
+    are asked for at theirs, by an equi-join on (text, place, word), and a term is found where all of them stand.
+    Texts are in no shuffle and no pattern is compiled per row. NULL texts have no hits; repeated ids are texts of
+    their own; terms without a letter or digit never match.
+    """
+    variants = stored(_term_variants(terms), "variants")
+    words = variants.select("variant", "rule", F.size("words").alias("of"), F.posexplode("words").alias("at", "w")).select(
+        "variant", "rule", "of", "at", F.explode("w.forms").alias("word"), "w.gap", "w.lead", "w.trail"
     )
-    tokens = df.select(id_col, F.explode(F.array_distinct(F.split(text_col, "[^a-z0-9]+"))).alias("_token"))
-    candidates = tokens.join(rules, "_token").groupBy(id_col, "category", "cat_ord", "term", "term_ord", "_pattern").count()
-    confirmed = candidates.join(df.select(id_col, text_col), id_col).where(F.rlike(text_col, "_pattern"))
-    return confirmed.select(id_col, "category", "cat_ord", "term", "term_ord")
+    words = stored(words, "words")
+    vocabulary = stored(words.select("word").distinct(), "vocabulary")
+    known = stored(_known_tokens(df, id_col, text_col, broadcast_if_small(vocabulary, BROADCAST_WORDS)), "tokens")
+    counts = stored(known.groupBy("word").count(), "counts")
+    # A word that no text has, in any of its forms, rules its terms out.
+    each = words.join(broadcast_if_small(counts, BROADCAST_WORDS), "word", "left").groupBy("variant", "at").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    rarest = each.groupBy("variant").agg(F.min(F.struct("n", "at")).alias("r")).where("r.n > 0").select("variant", F.col("r.at").alias("at"))
+    anchors = stored(words.join(rarest, ["variant", "at"]), "anchors")
+    hits = known.join(broadcast_if_small(anchors, BROADCAST_WORDS), "word").where(_STANDS).where("pos >= at")
+    hits = stored(hits.select("variant", "rule", "of", "row", "id", F.col("at").alias("anchor"), (F.col("pos") - F.col("at")).alias("start")), "places")
+    asked = hits.where("of > 1").join(words.drop("of", "rule"), "variant").where("at <> anchor")
+    asked = asked.select("variant", "rule", "of", "row", "start", (F.col("start") + F.col("at")).alias("pos"), "word", "at", "gap", "lead", "trail")
+    asked = broadcast_if_small(stored(asked, "asked"), BROADCAST_WORDS)
+    met = known.join(asked, ["row", "pos", "word"]).where(_STANDS).groupBy("variant", "rule", "of", "row", "id", "start").agg(F.count("*").alias("n"))
+    found = hits.where("of = 1").select("rule", "id").unionByName(met.where("n = of - 1").select("rule", "id")).distinct()
+    rules = variants.select("rule", "category", "cat_ord", "term", "term_ord").distinct()
+    return found.join(rules, "rule").select(F.col("id").alias(id_col), "category", "cat_ord", "term", "term_ord")
 
 
 def heading_categories(trail: Column, rules: RuleSet) -> Column:
