@@ -1,6 +1,8 @@
 import random
 from datetime import date
+from statistics import median_low
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedupe, graph, ranks, rollup
@@ -208,6 +210,38 @@ def test_global_rank_and_neighbours_with_ties(spark):
         assert r["previous"] == (order[i - 1] if i else None) and r["next"] == (order[i + 1] if i + 1 < len(order) else None)
 
 
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_ranks_do_not_depend_on_partitions(spark, partitions):
+    settings = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        rng = random.Random(4)
+        values = rng.sample(range(10_000), 700)
+        df = spark.createDataFrame([(x, None if x % 5 == 0 else f"v{x}") for x in values], "k int, name string").repartition(7)
+        order = sorted(values)
+        ranked = ranks.with_global_rank(df, F.struct("k")).collect()
+        assert {r["k"]: r["rank"] for r in ranked} == {x: i + 1 for i, x in enumerate(order)}
+        name = lambda i: None if not 0 <= i < len(order) or order[i] % 5 == 0 else f"v{order[i]}"
+        near = {r["k"]: (r["previous"], r["next"]) for r in ranks.with_neighbours(df, F.struct("k"), "name").collect()}
+        assert near == {x: (name(i - 1), name(i + 1)) for i, x in enumerate(order)}
+        assert ranks.with_global_rank(df.where("false"), F.struct("k")).count() == 0
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_lower_median_by_counting(spark):
+    rng = random.Random(5)
+    cases = [[3.0], [1.0, 2.0], [5.0] * 40 + [1.0], [rng.random() for _ in range(301)], [1e300, -1e300, *[rng.gauss(0, 1) for _ in range(200)]], [float(rng.randrange(4)) for _ in range(100)]]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "c double").repartition(3)
+        for few in (100_000, 5):
+            assert ranks.lower_median(df, "c", bins=8, few=few) == median_low(values)
+    assert ranks.lower_median(df.where("false"), "c") is None
+
+
 def test_document_lists(spark):
     df = spark.createDataFrame([(1, ["b", "A", "a"]), (2, ["A", "A"])], "id int, tags array<string>")
     assert [tuple(r) for r in group_sizes(df, "tags").collect()] == [("A", 2), ("a", 1), ("b", 1)]

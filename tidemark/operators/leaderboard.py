@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import with_global_rank
+from ..plans.storage import stored
+from .ranks import lower_median, with_global_rank
 
 # Pass thresholds, reward bands (upper bounds), and the uniform run budget.
 THRESHOLDS = (0.90, 0.95, 1.00)
@@ -135,21 +136,18 @@ def task_domains(trials: DataFrame) -> DataFrame:
 
 
 def cost_summary(rows: DataFrame, n_tasks: int, threshold: float = 0.95) -> DataFrame:
-    """Average cost, reward and pass rate over models, and the lower median cost.
+    """Average cost, reward and pass rate over models, and the lower median of the known costs.
 
-    The discrete median is found by counting: distinct costs are combined first, so one task
-    never sorts all rows of a large board.
+    The board is stored once as three numbers per model; the median is selected by counting.
     """
-    averages = rows.agg(
+    board = stored(rows.select("cost", "mean_reward", F.col(pass_name(threshold)).alias("passes")), "costs")
+    averages = board.agg(
         F.count("*").alias("models"),
         F.avg("cost").alias("avg_cost"),
         F.avg("mean_reward").alias("avg_reward"),
-        (F.avg(F.col(pass_name(threshold))) / F.lit(n_tasks)).alias("avg_pass_rate"),
+        (F.avg("passes") / F.lit(n_tasks)).alias("avg_pass_rate"),
     )
-    placed = with_global_rank(rows.select("cost", "model"), F.struct("cost", "model"), "_place")
-    middle = rows.agg(F.floor((F.count("*") + 1) / 2).alias("m")).scalar()
-    median = placed.where(F.col("_place") == middle).agg(F.max("cost").alias("median_cost")).scalar()
-    return averages.withColumn("median_cost", median)
+    return averages.withColumn("median_cost", F.lit(lower_median(board, "cost")).cast("double"))
 
 
 def validate_submission(trials: DataFrame, tasks: DataFrame) -> DataFrame:
