@@ -1,11 +1,16 @@
 """N-gram Jaccard self-join by PartEnum signatures, and the groups that its links form.
 
 A document's set holds its distinct word shingles. For each band of set sizes the domain of shingles is cut
-into twice as many parts as the band's largest set has shingles; what a set holds of a part is a signature. Two
-sets with 100 * |A and B| >= 75 * |A or B| differ in at most (|A| + |B|) / 7 <= |A| / 3 =: k shingles, so in
-at most k parts. A set with more than k filled parts therefore shares a signature with its partner, even
-among its k + 1 rarest ones, because both order signatures alike; sets with fewer filled parts give all
-signatures, and those of their empty parts too. Nothing below the bound is lost.
+into parts, a fifth as many as the band's largest set has shingles, and each part into three pieces. What a set
+holds of two pieces of a part is a signature, so a part gives the three subsets of two pieces. Two sets with
+100 * |A and B| >= 75 * |A or B| differ in at most (|A| + |B|) / 7 <= |A| / 3 =: k shingles. A part in which they
+differ at most once has two pieces in which they don't, and as the parts number more than k / 2, there is such a part.
+
+Signatures of empty pieces would be common to all small sets, and not all others are needed. The first
+difference in a part changes at most two of its signatures that hold a shingle, the next ones the third, so
+from a set's own parts follows how many of these, ``lost``, k differences can change. A set with more than ``lost``
+of them shares one with its partner, even among its lost + 1 rarest ones, because both order signatures alike; a
+set with fewer gives all signatures, those of empty pieces too. Nothing at or above the bound is lost.
 
 Links are then found in two steps, neither of which lists the pairs of a bucket:
 
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +44,10 @@ FREQUENT = 200_000
 POOL = 2 << 20
 #: Ids, 8 bytes each, that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Parts of a band are 2^FINER times its largest size. More parts leave more of them filled, so the k + 1
-#: rarest signatures are a smaller share of a set's, and common passages stay out of them.
-FINER = 1
+#: Shingles of a band's largest set for each part; with fewer than seven, parts outnumber half of the differences.
+PART_SHARE = 5
+#: Bits of a signature. Signatures that are equal by chance cost a comparison, no more.
+TOKEN_BITS = 48
 #: Sets in one block of the second step.
 BLOCK = 256
 #: Sizes in one class of blocks lie within this ratio.
@@ -49,6 +56,9 @@ SIZE_STEP = 1.15
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_CUT, _NEVER = np.uint64(64 - TOKEN_BITS), np.int64(2**62)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -74,41 +84,49 @@ def shingles(text: bytes | None) -> np.ndarray:
 def signatures(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The signatures that a set needs, rarest first by the counts of its frequent shingles."""
     n = len(found)
-    if not n:
-        return found
+    if n < 3:
+        # Only an equal set is similar.
+        return _mix(found.sum(dtype=np.uint64)[None])[:n] >> _CUT
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
         usual = np.where(frequent[at] == found, counts[at], 0)
     else:
         usual = np.zeros(n, np.int64)
-    differ = n // 3
-    band = _band(n)
+    differ, band, mixed = n // 3, _band(n), _mix(found)
+    spread = found * np.uint64(0x9FB21C651E98DF25)
+    high, low = spread >> np.uint64(32), spread & np.uint64(0xFFFFFFFF)
     out = []
-    for b in (band, band + 1) if 4 * n >= 3 << band else (band,):
-        if b == 6:
-            # Small sets: every shingle is a part of its own, all of them filled.
-            sums, rare, empty = found, usual, 0
-        else:
-            part = (found * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - b - FINER)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(_mix(found[order]), first) + part[first]
-            rare = np.minimum.reduceat(usual[order], first)
-            empty = (1 << b + FINER) - len(first)
-        tokens = _mix(sums ^ np.uint64(b * 0x51ED270B + 1))
-        if len(tokens) > differ:
-            keep = np.lexsort((tokens, rare))[: differ + 1]
-            out.append(tokens[keep])
-        else:
-            filled = np.zeros(1 << b + FINER, bool)
-            filled[part[first].astype(np.int64)] = True
-            out += [tokens, _mix(np.flatnonzero(~filled).astype(np.uint64) ^ np.uint64(b << 40))] if empty else [tokens]
+    for b in (band, band + 1) if 4 * n > 3 << band else (band,):
+        parts = -(-(1 << b) // PART_SHARE)
+        piece = ((high * np.uint64(parts) >> np.uint64(32)) * np.uint64(3) + (low * np.uint64(3) >> np.uint64(32))).astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        piece = piece[order]
+        first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+        sums, rare, filled = np.zeros(3 * parts, np.uint64), np.full(3 * parts, _NEVER), np.zeros(3 * parts, bool)
+        sums[piece[first]] = np.add.reduceat(mixed[order], first)
+        rare[piece[first]] = np.minimum.reduceat(usual[order], first)
+        filled[piece[first]] = True
+        sums, rare, filled = (x.reshape(parts, 3) for x in (sums, rare, filled))
+        # The subset without the first, second and third piece.
+        tokens = (sums[:, [1, 0, 0]] + sums[:, [2, 2, 1]]).ravel()
+        tokens = _mix(tokens ^ (np.arange(3 * parts, dtype=np.uint64) << np.uint64(8) | np.uint64(b)) * _ODD[0]) >> _CUT
+        holds = filled[:, [1, 0, 0]] | filled[:, [2, 2, 1]]
+        each, some = holds.sum(axis=1), holds.ravel()
+        parts_held, whole = np.count_nonzero(each), np.count_nonzero(each == 3)
+        lost = 2 * min(differ, parts_held) + min(max(differ - parts_held, 0), whole)
+        if np.count_nonzero(some) > lost:
+            rarity = np.minimum(rare[:, [1, 0, 0]], rare[:, [2, 2, 1]]).ravel()[some]
+            tokens = tokens[some]
+            if rarity.any():
+                tokens = tokens[np.lexsort((tokens, rarity))[: lost + 1]]
+            else:
+                tokens = np.partition(tokens, lost)[: lost + 1]
+        out.append(tokens)
     return np.concatenate(out)
 
 
 def _band(n: int) -> int:
-    return max(6, int(n - 1).bit_length())
+    return max(2, int(n - 1).bit_length())
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -117,7 +135,7 @@ def sketch(found: np.ndarray) -> bytes:
     Two sets differ in at least as many shingles as their sketches differ in bits, so a sketch can rule a
     pair out but never wrongly.
     """
-    bits = 2 << _band(len(found))
+    bits = 2 << max(6, _band(len(found)))
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -154,7 +172,7 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
             for raw in text_bytes(batch.column(1)):
                 found = shingles(raw)
-                key = xxhash.xxh3_128_digest(found.tobytes())
+                key = _set_key(found)
                 sizes.append(len(found))
                 keys.append(key)
                 marks.append(sketch(found) if len(found) else b"")
@@ -181,11 +199,47 @@ def text_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, key binary, sketch binary, shingle long")
 
 
-def _only(df: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
-    """Rows whose id is in ``ids`` (column id), which are broadcast when few enough."""
-    small = ids.count() <= BROADCAST_IDS
-    ids = ids.select(F.col("id").alias(doc_id))
-    return df.join(F.broadcast(ids) if small else ids, doc_id, "left_semi")
+def _set_key(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+#: The key of texts without words, which are in no group.
+NO_WORDS = _set_key(np.empty(0, np.uint64))
+
+
+def _key_node(key: bytes) -> int:
+    """The node of a class whose smallest id belongs to several texts: Spark's ``xxhash64`` of its key."""
+    node = xxhash.xxh64_intdigest(key, 42)
+    return node - (1 << 64) if node >> 63 else node
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Texts that stand for the classes of equal sets.
+
+    ``rows`` has doc_id, t, shared; the node of a class is its smallest id, or a hash of its set where that id is
+    ``shared`` by several classes. ``any_shared`` tells whether there are such ids.
+    """
+
+    rows: DataFrame
+    any_shared: bool
+
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(id, s) of the nodes in column id; nodes of shared ids may be added."""
+        small = broadcast_if_small(nodes.select(F.col("id").alias("doc_id")), BROADCAST_IDS)
+        rows = self.rows.where("NOT shared").join(small, "doc_id", "left_semi")
+        if self.any_shared:
+            rows = rows.unionByName(self.rows.where("shared"))
+
+        def make():
+            def work(batch):
+                found = [shingles(raw) for raw in batch]
+                return [[f.view(np.int64) for f in found], [_key_node(_set_key(f)) for f in found]]
+
+            return work
+
+        sets = map_texts(rows, "t", "s array<long>, own long", make, ["doc_id", "shared"])
+        return sets.select(F.when(F.col("shared"), F.col("own")).otherwise(F.col("doc_id")).alias("id"), "s").dropDuplicates(["id"])
 
 
 def _buckets(tokens: DataFrame) -> DataFrame:
@@ -242,15 +296,12 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: Texts) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by the sets themselves, computed again for their documents."""
     pairs = stored(pairs, "possible")
     ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = map_texts(
-        _only(texts, ids, "doc_id"), "t", "s array<long>", lambda: lambda batch: [[shingles(raw).view(np.int64) for raw in batch]], ["doc_id"]
-    )
-    sets = stored(sets.dropDuplicates(["doc_id"]), "arrays")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s_{x}"))
+    sets = stored(texts.sets_of(ids), "arrays")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
     similar = 100 * both >= PERCENT * (F.size("s_a") + F.size("s_b") - both)
     narrow = broadcast_if_small(pairs, BROADCAST_IDS // 4)
@@ -299,29 +350,30 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b) that connect all documents of ``classes`` (id, n, sketch) with similar sets.
+def links(classes: DataFrame, texts: Texts, frequent: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``classes`` (id, n, sketch) with similar sets.
 
     Not every similar pair is listed, but each is connected.
     """
     top = frequent.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     order = np.argsort(top["shingle"].to_numpy(np.int64).view(np.uint64))
-    shared = documents.sparkSession.sparkContext.broadcast(
+    shared = classes.sparkSession.sparkContext.broadcast(
         (top["shingle"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order])
     )
-    texts = _only(documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("t")), classes.select("id"), "doc_id")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, raws = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            ids, raws, several = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
             for i in range(0, len(ids), 200):
-                found = [signatures(shingles(r), *shared.value) for r in raws[i : i + 200]]
+                sets = [shingles(r) for r in raws[i : i + 200]]
+                nodes = [_key_node(_set_key(s)) if many else doc for s, doc, many in zip(sets, ids[i : i + 200], several[i : i + 200])]
+                found = [signatures(s, *shared.value) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids[i : i + 200], np.int64), [len(f) for f in found]))],
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(f) for f in found]))],
                     names=["token", "id"],
                 )
 
-    buckets = stored(_buckets(texts.mapInArrow(sign, "token long, id long")), "buckets")
+    buckets = stored(_buckets(texts.rows.select("doc_id", "t", "shared").mapInArrow(sign, "token long, id long")), "buckets")
     # Step 1: of the hubs of its buckets, the one that a set meets most often.
     met = buckets.where("hub != id").groupBy("id", "hub").agg(F.count("*").alias("n"))
     best = stored(met.groupBy("id").agg(F.min_by("hub", F.struct((-F.col("n")).alias("n"), "hub")).alias("hub")), "best")
@@ -357,27 +409,51 @@ def links(classes: DataFrame, documents: DataFrame, frequent: DataFrame, doc_id:
     return stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(_verified(_block_pairs(rows), texts))
 
 
+def grouped_sets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n, key, grp, component_id) of every row: its set's size and key, its group and the group's smallest id.
+
+    Rows without words have no group, and so have rows whose set no row with an id has.
+    """
+    found = stored(text_sets(documents, doc_id, text), "sets")
+    rows = found.where("key IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "key", "sketch")
+    least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    least = stored(least.where("doc_id IS NOT NULL"), "classes")
+    named = stored(least.groupBy("doc_id").agg((F.count("*") > 1).alias("shared")), "named")
+    any_shared = not named.where("shared").isEmpty()
+    small = broadcast_if_small(named, BROADCAST_IDS)
+    if any_shared:
+        classes = least.join(small, "doc_id").select("key", "doc_id", "n", "sketch", F.when(F.col("shared"), F.xxhash64("key")).otherwise(F.col("doc_id")).alias("id"))
+    else:
+        classes = least.withColumn("id", F.col("doc_id"))
+    texts = documents.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("t"))
+    texts = Texts(texts.join(small, "doc_id"), any_shared)
+    roots = smallest_reachable(links(classes.select("id", "n", "sketch"), texts, found.where("shingle IS NOT NULL").select("shingle", "n")))
+    by_key = classes.join(roots, "id", "left").select("key", "doc_id", F.coalesce("component", "id").alias("grp"))
+    if any_shared:
+        by_key = stored(by_key, "groups")
+        by_key = by_key.join(by_key.groupBy("grp").agg(F.min("doc_id").alias("component_id")), "grp").select("key", "grp", "component_id")
+    else:
+        by_key = by_key.select("key", "grp", F.col("grp").alias("component_id"))
+    by_key = stored(by_key, "roots")
+    # Most classes are one row; what is joined are narrow rows, and Spark splits the key of a large class.
+    grouped = rows.where("n > 0").select("doc_id", "n", "key").join(broadcast_if_small(by_key, BROADCAST_IDS // 4), "key", "left")
+    none = F.lit(None).cast("long")
+    alone = rows.where("n = 0").select("doc_id", "n", "key", none.alias("grp"), F.col("doc_id").alias("component_id"))
+    return grouped.select("doc_id", "n", "key", "grp", "component_id").unionByName(alone)
+
+
+def set_keys(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the key of each text's set, which equal sets share."""
+    return map_texts(df, text, f"{out} binary", lambda: lambda batch: [[_set_key(shingles(raw)) for raw in batch]])
+
+
 def similar_groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the smallest id that is reachable by links, the row's own included. Rows without
     words (NULL, empty or white-space texts) have no shingles and stay alone. Equal sets are one class and
-    are compared once. Repeated ids count as one node; a row without an id gets the component of its class,
-    or NULL when no row of the class has an id. Ids are whole numbers.
+    are compared once. Links hold between texts: rows that repeat an id with other texts may lie in several
+    components, and each text is linked with all that are similar to it. A row without an id gets the component of
+    its class, or NULL when no row of the class has an id. Ids are whole numbers; other columns are not read.
     """
-    found = stored(text_sets(documents, doc_id, text), "sets")
-    rows = found.where("key IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "key")
-    classes = stored(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
-    # A repeated id stands for one of its texts here.
-    marks = found.where("key IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "n", "sketch")
-    marks = stored(_only(marks, classes.select("id"), "id").dropDuplicates(["id"]), "sketches")
-    joined = links(marks, documents, found.where("shingle IS NOT NULL").select("shingle", "n"), doc_id, text)
-    roots = smallest_reachable(joined)
-    by_key = stored(classes.join(roots, "id", "left").select("key", F.coalesce("component", "id").alias("component")), "roots")
-    small = by_key.count() <= BROADCAST_IDS // 4
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    # Most classes are one row; what is joined are narrow rows, and Spark splits the key of a large class.
-    grouped = rows.where("n > 0").join(F.broadcast(by_key) if small else by_key, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
-    )
-    return grouped.unionByName(alone)
+    return grouped_sets(documents, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
