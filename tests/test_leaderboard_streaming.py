@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -96,6 +97,37 @@ def test_duplicates_stay_suppressed_across_batches(spark, event_files, tmp_path)
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == [f"k{i}" for i in range(5)]
 
 
+@pytest.mark.parametrize("files", [1, 2, None])
+def test_keys_are_reported_once_in_any_order_of_files(spark, event_files, tmp_path, files):
+    path, out, progress = str(tmp_path / "files"), str(tmp_path / "keys"), str(tmp_path / "p")
+    shutil.copytree(event_files[0], path)
+    schema = "id bigint, ts timestamp_ntz, key string, score double"
+    late = spark.createDataFrame([(999, datetime(2001, 1, 1), None, 0.0), (998, datetime(2001, 1, 1), "k0", 0.0)], schema)
+    run = lambda p: jobs.report_once(jobs.file_stream(spark, path, schema, files_per_batch=files), ["key"], out, p).awaitTermination()
+    read = lambda: sorted((r["key"] for r in spark.read.parquet(out).collect()), key=str)
+    run(progress)
+    assert read() == [f"k{i}" for i in range(5)]
+    # Rows far behind all others come later, in the same run and in another one.
+    late.coalesce(1).write.mode("append").parquet(path)
+    run(progress)
+    run(str(tmp_path / "again"))
+    assert read() == [None if i < 0 else f"k{i}" for i in range(-1, 5)]
+
+
+def test_partial_counts_add_up(spark, event_files, tmp_path):
+    path, rows = event_files
+    out, schema = str(tmp_path / "counts"), "id bigint, ts timestamp_ntz, key string, score double"
+    expected = {}
+    for _, ts, key, _ in rows:
+        expected[(f"{ts:%Y-%m-%d}", key)] = expected.get((f"{ts:%Y-%m-%d}", key), 0) + 1
+    read = lambda p: {(r["day"], r["key"]): r["count"] for r in jobs.daily_totals(spark, p, "key").collect()}
+    for progress, files in (("p1", 1), ("p1", 1), ("p2", 2)):
+        jobs.partial_counts(jobs.file_stream(spark, path, schema, files_per_batch=files), "ts", "key", out, str(tmp_path / progress)).awaitTermination()
+        assert read(out) == expected
+    jobs.compact_counts(spark, out, "key", str(tmp_path / "compact"))
+    assert read(str(tmp_path / "compact")) == expected and spark.read.parquet(str(tmp_path / "compact")).count() == len(expected)
+
+
 def test_entity_state_equals_batch(spark, event_files, tmp_path):
     path, rows = event_files
     out = str(tmp_path / "state")

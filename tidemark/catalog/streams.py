@@ -23,12 +23,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _whole(spark: SparkSession, sf: str) -> int:
-    """Hours that all events stay within of each other, so none is late in any order of files."""
-    span = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
-    return (v.table(spark, sf, "events").agg(span).first()[0] or 0) // 3600 + 2
-
-
 def _events(spark: SparkSession, sf: str, files_per_batch: int = 1) -> DataFrame:
     """The events as a stream of at least six batches, from files by time."""
     v.utc(spark)
@@ -51,15 +45,27 @@ def x1_lookback(spark, sf):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def x2_unique_in_window(spark, sf):
-    unique = jobs.unique_in_window(_events(spark, sf), ["user_id", "event_type"], "ts", hours=_whole(spark, sf))
-    return spark.read.parquet(_run(spark, "x2", unique.select("user_id", "event_type")))
+    keys = ["user_id", "event_type"]
+    path, progress = scratch(spark, "x2"), scratch(spark, "x2-progress")
+    jobs.report_once(_events(spark, sf), keys, path, progress).awaitTermination()
+    return spark.read.parquet(path).select(*keys)
+
+
+@query(f"SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 48 HOUR")
+def x2_unique_in_lookback(spark, sf):
+    """One report per key of the rows that lie in the look-back window."""
+    keys = ["user_id", "event_type"]
+    path, progress = scratch(spark, "x2-recent"), scratch(spark, "x2-recent-progress")
+    recent = jobs.lookback(_events(spark, sf), "ts", v.now().cast("timestamp"))
+    jobs.report_once(recent, keys, path, progress).awaitTermination()
+    return spark.read.parquet(path).select(*keys)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def x3_daily_counts(spark, sf):
-    counts = jobs.daily_counts(_events(spark, sf), "ts", "event_type", hours=_whole(spark, sf))
-    path = _run(spark, "x3", counts, jobs.replace_batches, mode="update")
-    return jobs.latest_state(spark, path, ["day", "event_type"])
+    path, progress = scratch(spark, "x3"), scratch(spark, "x3-progress")
+    jobs.partial_counts(_events(spark, sf), "ts", "event_type", path, progress).awaitTermination()
+    return jobs.daily_totals(spark, path, "event_type")
 
 
 @query("""

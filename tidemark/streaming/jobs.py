@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +38,7 @@ def unique_in_window(stream: DataFrame, keys: Sequence[str], ts: str, hours: flo
     """The first sighting of each key, and a later one only after its state has expired.
 
     A key is forgotten once the watermark, ``hours`` behind the newest event, has passed ``hours`` beyond its
-    sighting; to report a key once, ``hours`` has to outlast the stream.
+    sighting, and rows behind the watermark are dropped; ``report_once`` does neither.
     """
     return stream.withWatermark(ts, f"{int(hours)} hours").dropDuplicatesWithinWatermark(list(keys))
 
@@ -55,6 +55,56 @@ def daily_counts(stream: DataFrame, ts: str, value: str, hours: float = 48.0) ->
     return counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), value, "count")
 
 
+def report_once(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the values of ``keys`` that no earlier batch has, to a table that is the memory as well.
+
+    Each batch is reduced to its distinct keys and anti-joined with the table, so no state is held between
+    batches, no row is ever late, and files may come in any order. A batch that runs again replaces what it wrote.
+    NULL is a key of its own. After ``lookback`` only keys of the window are reported.
+    """
+    run = _run_of(stream.sparkSession, checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*keys).distinct()
+        try:
+            known = batch.sparkSession.read.parquet(path)
+        except AnalysisException:
+            known = None  # the first batch
+        if known is not None:
+            known = known.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+            known = known.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+            fresh = fresh.join(known, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(write)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def partial_counts(stream: DataFrame, ts: str, value: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes each batch as counts per UTC day and value; ``daily_totals`` adds them up.
+
+    Counts merge, so nothing is held between batches: a late row is one more count of its day, and every day is
+    complete as soon as its last row is there. What another run writes for a day replaces that day.
+    """
+    day = F.date_format(F.window(ts, "1 day")["start"], "yyyy-MM-dd").alias("day")
+    count = lambda batch: batch.groupBy(day, F.col(value)).agg(F.count("*").alias("count"))
+    return replace_batches(stream, path, checkpoint, by=("day",), each=count)
+
+
+def daily_totals(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(day, value, count) of a table of ``partial_counts``."""
+    rows = current_rows(spark, path, ["day"])
+    return rows.groupBy(F.col("day").cast("string").alias("day"), value).agg(F.sum("count").alias("count"))
+
+
+def compact_counts(spark: SparkSession, path: str, value: str, to: str) -> None:
+    """Writes the counts of each day and value, added up, to a new table of the same form."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy("day").agg(F.max("run").alias("run"))
+    summed = rows.join(newest, ["day", "run"], "left_semi").groupBy("day", value, "run").agg(F.sum("count").alias("count"))
+    summed.withColumn("batch_id", F.lit(-1).cast("bigint")).write.partitionBy("day", "run", "batch_id").parquet(to)
+
+
 def entity_state(stream: DataFrame, entity: str, score: str, ts: str) -> DataFrame:
     """Running observations, peak score, first and last sighting per entity (update mode)."""
     return stream.groupBy(entity).agg(
@@ -82,18 +132,22 @@ def _run_of(spark: SparkSession, checkpoint: str) -> int:
         return run
 
 
-def replace_batches(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), mode: str = "append") -> StreamingQuery:
+def replace_batches(
+    stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = (), mode: str = "append",
+    each: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+) -> StreamingQuery:
     """Idempotent dated sink: a batch that runs again replaces exactly its own partitions.
 
     Rows carry the run that wrote them. What a newer run writes for a value of ``by`` stands in place of all
-    that older runs wrote for it, however the files fell into batches; read it with ``current_rows``.
+    that older runs wrote for it, however the files fell into batches; read it with ``current_rows``. ``each`` is
+    applied to every batch before it is written.
     """
     run = _run_of(stream.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parts = [*by, "run", "batch_id"]
         (
-            batch.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
+            each(batch).withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts).parquet(path)
         )
