@@ -87,6 +87,20 @@ def test_repeated_ids_null_ids_and_empty_tables(spark):
     assert jaccard.similar_groups(table(spark, [])).count() == 0
 
 
+def test_texts_of_a_repeated_id_are_linked_each(spark):
+    words = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    near = [" ".join(w[:-1] + ["other"]) for w in words]
+    a, b, c = (" ".join(w) for w in words)
+    rows = [(5, near[0]), (5, near[1]), (7, b), (6, a), (5, near[2]), (3, c), (3, c), (3, a + " x"), (9, "alone in here"), (9, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, rows)).collect()), key=str)
+    sets = brute.groups(list(enumerate(t for _, t in rows)))
+    least = {}
+    for i, (_, g) in sets.items():
+        least[g] = min(least.get(g, rows[i][0]), rows[i][0])
+    assert got == sorted(((rows[i][0], n, least[g]) for i, (n, g) in sets.items()), key=str)
+    assert [c for i, _, c in got if i == 7] == [5] and [c for i, _, c in got if i == 6] == [3]
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(40)] + [(100, rng.randrange(101, 130)) for _ in range(40)] + [(5, 5), (200, 199)]
@@ -299,6 +313,65 @@ def test_text_beside_an_inner_container_stays(spark, page, want):
     assert got[9] == "\n\n".join(RUN.strip() if t == (RUN * 9).strip() else t for t in want)
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><h1>Head</h1><h2 id='search-results'>Results</h2><section class='discussion'><p>{RUN}</p></section><p id='reply-to-critics'>Reply.</p></article>", ["Head", "Results", RUN.strip(), "Reply."]),
+    (f"<article><p>{RUN}</p><section id='related-work'><h2>Related</h2><p>{RUN}</p></section><ul class='related'><li><a href='/1'>One more</a><li><a href='/2'>Two more</a></ul></article>", [RUN.strip(), "Related", RUN.strip()]),
+    (f"<article><p>{RUN}</p><div class='search'><form><input name=q></form>Find it</div><div id='comments'><p>{RUN}</p></div><p class='advert'>Buy</p><h3 class='notice'>A heading</h3></article>", [RUN.strip(), "A heading"]),
+    (f"<div class='page'><div class='intro'><p>{RUN}</p></div><div class='details'><p>{RUN * 9}</p></div></div>", [RUN.strip(), (RUN * 9).strip()]),
+    (f"<div class='intro'><p>{RUN}</p></div><div class='details'><p>{RUN * 9}</p></div><div class='footer-links'><a href='/'>Home of the site and all of its many pages</a></div>", [RUN.strip(), (RUN * 9).strip()]),
+    (f"<div class='x'><div class='body'><p>{RUN * 3}</p></div><div class='body'><p>{RUN * 2}</p></div><div class='body'><p>{RUN}</p></div></div>", [(RUN * 3).strip(), (RUN * 2).strip(), RUN.strip()]),
+])
+def test_sections_of_the_article_stay(spark, page, want):
+    assert html_extract.Page(f"<body>{page}</body>").text(None) == "\n\n".join(want)
+    # On a host of many pages what all repeat is not the article, what varies is.
+    rows = [(i, "http://a/", f"<body><div class='claim'>{'The claim of the site, the same on every page.'}</div>{page.replace('sentence', f'line{i}')}</body>") for i in range(6)] + [(9, "http://b/", f"<body>{page}</body>")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "\n\n".join(want)
+    assert all(got[i] == "\n\n".join(want).replace("sentence", f"line{i}") for i in range(6))
+
+
+def test_pages_of_the_tables_equal_a_plain_reader(spark):
+    """The template of the tables marks its article, so a reader that takes its blocks says the same."""
+    import os
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.open = [], False
+
+        def handle_starttag(self, tag, attributes):
+            self.open |= tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            self.open &= tag != "article"
+
+        def handle_data(self, data):
+            if self.open:
+                self.blocks[-1] += data
+
+    folder = os.environ.get("TIDEMARK_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        assert got[r.page_id] == "\n\n".join(t for t in (" ".join(b.split()) for b in reader.blocks) if t)
+
+
+def test_internal_names_of_pages_do_not_clash(spark):
+    names = ["_path", "_host", "_both", "host", "told", "both", "row", "html2", "votes", "pages", "key"]
+    df = table(spark, [(1, "http://a/", f"<article><p>{RUN}</p></article>")], "page_id long, url string, html string").withColumns({c: F.lit(c) for c in names})
+    (r,) = html_extract.extract_pages(df).collect()
+    assert r.text == RUN.strip() and all(r[c] == c for c in names) and r.page_id == 1
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<p>a<p class='notice'>cookies<p>b", "a\n\nb"), ("<div><nav>menu</div><p>text", "text"), ("<nav><ul><li>a<li>b</ul></nav><p>c", "c"),
     ("a < b &lt; c <br> d", "a < b < c d"), ("<!-- x", ""), ("<p>&nbsp;&#x41;</p>", "A"), ("<article class='comment'><p>x</p></article><article><p>main</p></article>", "main"),

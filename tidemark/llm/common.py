@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,6 +49,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def aside(names: list[str]) -> tuple[list[Column], list[Column]]:
+    """The columns ``names`` under names that no operator uses inside, and the same columns back under their own."""
+    inner = [f"_kept_{i}" for i in range(len(names))]
+    return [F.col(quoted(c)).alias(k) for c, k in zip(names, inner)], [F.col(k).alias(c) for c, k in zip(names, inner)]
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
@@ -70,8 +76,9 @@ def map_texts(
     added = T.StructType.fromDDL(results)
     names = without(df, added.names)
     kept = names if keep is None else [c for c in keep if c in names]
-    source = df.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias("_text"))
-    schema = T.StructType([source.schema[c] for c in kept] + list(added.fields))
+    inward, outward = aside(kept)
+    source = df.select(*inward, F.col(quoted(text)).alias("text"))
+    schema = T.StructType(source.schema.fields[:-1] + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(added)
@@ -85,4 +92,4 @@ def map_texts(
                 names=schema.names,
             )
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*outward, *added.names)

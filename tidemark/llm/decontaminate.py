@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import stored
-from .common import folded_word_spans, folded_words, quoted, text_bytes, without
+from .common import aside, folded_word_spans, folded_words, quoted, text_bytes, without
 from .phrases import PhraseAutomaton
 
 WINDOW = 10
@@ -133,11 +133,11 @@ def decontaminate(
     left a stored table of its hits; a single item is never split.
     """
     names = T.StructType.fromDDL(RESULTS).names
-    kept = [c for c in without(documents, names) if keep is None or c in keep]
+    inward, outward = aside([c for c in without(documents, names) if keep is None or c in keep])
     empty = [F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"), F.array().cast("array<struct<start: long, end: long>>")]
     rows = documents.select(
-        *[F.col(quoted(c)) for c in kept], F.col(quoted(text)).alias("_text"), *[c.alias(n) for c, n in zip(empty, names)]
+        *inward, F.col(quoted(text)).alias("_text"), *[c.alias(n) for c, n in zip(empty, names)]
     )
     items, blocks = _items(benchmark, item, item_text, block_bytes)
     rows = _scan(rows, _collected(items), window, True, True) if blocks == 1 else _by_blocks(rows, items, blocks, window)
-    return rows.drop("_text")
+    return rows.select(*outward, *names)

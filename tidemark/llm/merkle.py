@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import broadcast_if_small, stored
-from .common import quoted
 
 RUN = 16
 #: Segments (a group's rows in a partition), some 60 bytes each, that may be broadcast.

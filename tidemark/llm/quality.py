@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from .common import SPACES, quoted, without
+from .common import SPACES, aside, quoted, without
 
 SYMBOLS = "[#*$%&|<>]"
 #: Common words of the languages in which texts are expected.
@@ -76,10 +76,10 @@ def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STO
     """``df`` with ``MEASURES`` and ``RATIOS`` of every whole text, all of them built-in expressions.
 
     Words are runs without ASCII white space. NULL and empty texts measure 0 and have NULL ratios.
-    Columns with a result's name are replaced. ``stop_words`` count as written and with a capital.
+    Columns with a result's name are replaced, others keep theirs. ``stop_words`` count as written and with a capital.
     """
-    kept = [F.col(quoted(c)) for c in without(df, list(RESULTS))]
-    rows = df.select(*kept, F.coalesce(F.col(quoted(text)), F.lit("")).alias("_t"))
+    inward, outward = aside(without(df, list(RESULTS)))
+    rows = df.select(*inward, F.coalesce(F.col(quoted(text)), F.lit("")).alias("_t"))
     # One byte per white space, then a plain split, costs a third of a split on a class.
     spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\x0c\r", F.col("_t"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
@@ -117,7 +117,7 @@ def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STO
     }
     # Generated columns: a filter on one of them cannot be pushed below and repeat the work per element.
     made = F.inline(F.array(F.struct(*[c.cast("long").alias(k) for k, c in measures.items()])))
-    rows = rows.select(*kept, made)
+    rows = rows.select(*outward, made)
     words = F.nullif(F.col("n_words"), F.lit(0))
     return rows.withColumns(
         {

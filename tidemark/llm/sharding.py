@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
-from .common import quoted, without
+from .common import aside, quoted, without
 
 LIMIT_BYTES = 64 << 20
 #: Bits of the hash. The first ones come from the key, so rows of a key stay together until their shard has
@@ -49,17 +49,17 @@ def shard(df: DataFrame, key: str, content: str, limit_bytes: int = LIMIT_BYTES,
     Adds ``shard`` (its hash prefix as bits; the empty string while all fits one shard), ``shard_bytes``,
     ``shard_rows``, ``row_bytes`` and ``oversized``, which is true only for a shard that no bit can split: one
     row above the limit, or copies of one row. NULL contents have 0 bytes, NULL keys hash like empty ones, and
-    rows of an empty table have no shard. Input columns with a result's name are replaced.
+    rows of an empty table have no shard. Input columns with a result's name are replaced, others keep theirs.
 
     Each round sums the bytes of the finest prefixes once, which is a small table, and derives the sums of
     all shorter ones from it, so the work doesn't depend on the number of splits. Another round looks only
     at rows of prefixes that are still too large.
     """
-    kept = [c for c in without(df, RESULTS) if keep is None or c in keep]
+    inward, outward = aside([c for c in without(df, RESULTS) if keep is None or c in keep])
     text = F.col(quoted(content)).cast("string")
     rows = stored(
         df.select(
-            *[F.col(quoted(c)) for c in kept], hash_bits(F.col(quoted(key)), text).alias("h"),
+            *inward, hash_bits(F.col(quoted(key)), text).alias("h"),
             F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("row_bytes"),
         ),
         "hashed",
@@ -99,7 +99,7 @@ def shard(df: DataFrame, key: str, content: str, limit_bytes: int = LIMIT_BYTES,
         result = result.unionByName(more)
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth").cast("int"), F.lit("0")))
     return result.select(
-        *[F.col(quoted(c)) for c in kept], "row_bytes", bits.alias("shard"), "shard_bytes", "shard_rows",
+        *outward, "row_bytes", bits.alias("shard"), "shard_bytes", "shard_rows",
         (F.col("shard_bytes") > limit_bytes).alias("oversized"),
     )
 
