@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, packing, quality, toxicity
 from tidemark.llm.common import quoted
 from tidemark.llm.queries import TOXIC_FROM, table, toxicity_model
-from tidemark.plans.storage import scratch, stored
+from tidemark.plans.storage import broadcast_if_small, scratch, stored
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -27,18 +27,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest id stays; rows without an id stay.
+    """Of each group of similar texts, one row of the smallest id stays; rows without an id or without words stay.
 
-    Of rows that repeat an id, one stays.
+    Where an id has several texts, each is judged by its own group.
     """
-    groups = stored(jaccard.similar_groups(docs), "groups")
-    copies = groups.where("doc_id != component_id").select("doc_id").distinct()
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone = stored(copies.unionByName(repeated), "copies")
-    small = gone.count() <= jaccard.BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
-    again = docs.join(repeated, "doc_id", "left_semi").select(*[F.col(quoted(c)) for c in docs.columns]).dropDuplicates(["doc_id"])
-    return kept.unionByName(again)
+    every = stored(jaccard.grouped_sets(docs).where("doc_id IS NOT NULL").select("doc_id", "key", "grp"), "groups")
+    rows = every.where("grp IS NOT NULL")
+    first = stored(rows.groupBy("grp").agg(F.min(F.struct("doc_id", "key")).alias("f")).select("f.*"), "first")
+    # Ids of one row, by far most of them, are kept or dropped by the id alone.
+    several = stored(every.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    gone = stored(rows.join(first.select("doc_id"), "doc_id", "left_anti").select("doc_id").unionByName(several).distinct(), "gone")
+    kept = docs.join(broadcast_if_small(gone, jaccard.BROADCAST_IDS), "doc_id", "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
+    if several.isEmpty():
+        return kept
+    again = docs.join(broadcast_if_small(several, jaccard.BROADCAST_IDS), "doc_id", "left_semi")
+    again = jaccard.set_keys(_rows(again), "text", "_key").withColumn("_id", F.col("_row.doc_id"))
+    wordless = again.where(F.col("_key") == jaccard.NO_WORDS)
+    named = again.where(F.col("_key") != jaccard.NO_WORDS).dropDuplicates(["_id", "_key"])
+    named = named.join(first.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), ["_id", "_key"], "left_semi")
+    return kept.unionByName(named.select("_row.*")).unionByName(wordless.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
