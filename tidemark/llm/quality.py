@@ -117,9 +117,9 @@ def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STO
     }
     # Generated columns: a filter on one of them cannot be pushed below and repeat the work per element.
     made = F.inline(F.array(F.struct(*[c.cast("long").alias(k) for k, c in measures.items()])))
-    rows = rows.select(*outward, made)
+    rows = rows.select(*[c for c in rows.columns if c.startswith("_kept_")], made)
     words = F.nullif(F.col("n_words"), F.lit(0))
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "mean_word_chars": F.col("word_chars") / words,
             "symbols_per_word": F.col("n_symbols") / words,
@@ -127,6 +127,7 @@ def measure(df: DataFrame, text: str = "text", stop_words: tuple[str, ...] = STO
             "dup_line_ratio": F.col("n_dup_lines") / F.nullif(F.col("n_lines"), F.lit(0)),
         }
     )
+    return rows.select(*outward, *MEASURES, *RATIOS)
 
 
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:

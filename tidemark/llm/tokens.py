@@ -8,7 +8,7 @@ from array import array
 
 #: Distinct pieces whose ids a worker keeps in one generation, about 150 bytes each. A full generation becomes the
 #: old one, so what is used again stays.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 
 # Plain characters: ASCII without control characters, and letters of two Latin blocks. Normalisation only lower-cases them.
 _LETTERS, _SPACES, _WHITE = "ß-öø-įĳ-ſ", r" \t-\r", " \t\n\v\f\r"
