@@ -181,6 +181,28 @@ def test_graph_nodes_edges_and_cap(spark):
     assert {r["source"] for r in graph.neighbours(all_edges, "topic:t3").collect()} == {"url:https://x.org/3"}
 
 
+def test_graph_of_partials_equals_the_full_build(spark, tmp_path):
+    path, all_items = str(tmp_path / "graph"), items(spark)
+    changed = all_items.withColumn("total_score", F.col("total_score") + 30)
+    days = lambda df, *ds: df.where(F.col("scan_date").cast("string").isin(*ds))
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    graph.write_graph_partials(days(all_items, "2026-07-01", "2026-07-04"), {}, path)
+    # A scan is added, then one is replaced.
+    graph.write_graph_partials(days(all_items, "2026-07-02"), {}, path)
+    for part, full in zip(graph.graph_from_partials(spark, path, 2), graph.build_graph(all_items, {}, 2)):
+        assert order(part.select(*full.columns)) == order(full)
+    graph.write_graph_partials(days(changed, "2026-07-04"), {}, path)
+    now = days(all_items, "2026-07-01", "2026-07-02").unionByName(days(changed, "2026-07-04"))
+    for part, full in zip(graph.graph_from_partials(spark, path, 2), graph.build_graph(now, {}, 2)):
+        assert order(part.select(*full.columns)) == order(full)
+
+
+def test_records_of_a_node(spark):
+    found = lambda *node: sorted(r["title"] for r in graph.records_of_node(items(spark), *node).collect())
+    assert found("topic", "t2") == ["Later name", "Similar name"] and found("source", "GitHub") == ["Later name"]
+    assert found("model_family", "Fam") == ["Later name", "Third"] and found("organization", "nobody") == []
+
+
 def test_trends_compare_with_previous_scan(spark):
     rows = {(str(r["scan_date"]), r["category"]): r for r in rollup.category_trends(items(spark)).collect()}
     assert not rows[("2026-07-01", "t1")]["comparable"]

@@ -188,6 +188,34 @@ def test_snapshot_round_trip_replaces_only_its_date(spark, tmp_path):
     assert snapshots.read_snapshots(spark, path).count() == 7
 
 
+def test_unreadable_files_cost_their_own_rows(spark, tmp_path):
+    folder = tmp_path / "in"
+    spark.range(60).repartition(3).write.parquet(str(folder))
+    (folder / "broken.parquet").write_bytes(b"PAR1 no footer")
+    (folder / "sub #1").mkdir()
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(str(folder / "sub #1" / "more"))
+    rows, files = registry.payload_files(spark, str(folder), "id bigint")
+    assert rows.count() == 65 and files.count() == 5
+    assert sorted(r["_file"].rsplit("/", 1)[1] for r in files.where("NOT ok").collect()) == ["broken.parquet"]
+    health = registry.file_health({"a": files, "b": files.where("ok")})
+    assert {r["source_key"]: (r["files"], r["bad_files"], r["detail"]) for r in health.collect()} == {"a": (5, 1, "broken.parquet"), "b": (4, 0, "")}
+
+
+def test_item_lines_and_documents_hold_the_same_items(spark, tmp_path):
+    scored = run_scan(records(spark, [record(i, title=f"A title that is long enough {i}", venue="") for i in range(6)]), RULES, now()).scored
+    dated = scored.withColumn("scan_date", F.date_add(F.lit("2026-07-01").cast("date"), (F.col("position") % 2).cast("int")))
+    lines, nested = str(tmp_path / "lines"), str(tmp_path / "nested")
+    snapshots.write_item_lines(dated, lines)
+    snapshots.write_item_lines(dated.where("scan_date = date '2026-07-02'"), lines)
+    snapshots.write_documents(dated, nested)
+    read = lambda df: sorted((str(r["scan_date"]), r["source_id"], r["title"], r["total_score"], tuple(r["authors"] or ()), r["venue"]) for r in df.collect())
+    rows = read(snapshots.read_item_lines(spark, lines))
+    assert rows == read(snapshots.read_documents(spark, nested)[0]) and len(rows) == 6 and rows[0][-1] is None
+    (tmp_path / "lines" / "scan_date=2026-07-02" / "bad.json").write_text("no json")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        snapshots.read_item_lines(spark, lines).collect()
+
+
 def test_public_projection_drops_empty_fields(spark):
     many = [record(0, authors=[f"a{i}" for i in range(20)], artifact_urls=[f"u{i}" for i in range(20)], metrics={"likes": 1.005})]
     scored = run_scan(records(spark, many), RULES, now()).scored

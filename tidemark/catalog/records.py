@@ -547,6 +547,16 @@ def s15_payload_hash(spark, sf):
     return quality.with_payload_hash(orders, ["o_orderkey", "o_custkey", "o_orderstatus"]).select("o_orderkey", "raw_payload_hash")
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 5 <> 0")
+def s15_unchanged_rows(spark, sf):
+    """Of orders seen before, some with another status by now, those whose fingerprint is the stored one."""
+    columns, orders = ["o_orderkey", "o_custkey", "o_orderstatus"], v.table(spark, sf, "orders")
+    stored = quality.with_payload_hash(orders.where("o_orderkey % 5 <> 0").select(*columns), columns)
+    changed = F.when(F.col("o_custkey") % 3 == 0, F.concat("o_orderstatus", F.lit("*"))).otherwise(F.col("o_orderstatus"))
+    now = quality.with_payload_hash(orders.select("o_orderkey", "o_custkey", changed.alias("o_orderstatus")), columns)
+    return quality.unchanged_rows(stored, now, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+
+
 @query(f"""
 WITH {RECORDS_SQL}
 SELECT trim(summary) AS summary, count(*) AS records FROM records WHERE length(trim(summary)) >= 60 GROUP BY 1 HAVING count(*) >= 4""")

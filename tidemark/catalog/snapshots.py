@@ -36,9 +36,15 @@ def _stored_items(spark, sf):
     return cut(_items(spark, sf).drop("summary", "facets", "metrics"))
 
 
-def _health(spark, sf):
+def _scanned(spark, sf):
+    """Every scored record with its stage, without its prose: one build for items, funnels and health."""
+    return cut(select.with_stage(v.scored(spark, sf), v.SELECT).drop("summary", "facets", "metrics"))
+
+
+def _health(spark, sf, records=None):
     """Health of (scan, source): a source with exactly two records that day counts as failed."""
-    counts = v.records(spark, sf).groupBy("scan_date", "source").agg(F.count("*").alias("item_count"))
+    records = v.records(spark, sf) if records is None else records
+    counts = records.groupBy("scan_date", "source").agg(F.count("*").alias("item_count"))
     return counts.withColumns({"ok": F.col("item_count") != 2, "required": F.col("source").isin("src0", "src1")})
 
 
@@ -89,7 +95,8 @@ days AS (
 
 @query(f"WITH {ITEMS_SQL}, {_DAYS_SQL} SELECT * FROM rolled")
 def a1_day_rollup(spark, sf):
-    return rollup.day_rollup(_stored_items(spark, sf), _health(spark, sf))
+    scanned = _scanned(spark, sf)
+    return rollup.day_rollup(scanned.where("stage = 'qualified'"), _health(spark, sf, scanned))
 
 
 _VALUES_SQL = """
@@ -212,7 +219,9 @@ SELECT scan_date, item_count, pinned_count, coalesce(top_sources, '—') AS top_
   coalesce(fetched, 0) || ' → ' || coalesce(published, 0) AS flow, sources_ok || '/' || sources_total || ' ok' AS health
 FROM rolled LEFT JOIN src USING (scan_date) LEFT JOIN top USING (scan_date) LEFT JOIN funnels USING (scan_date)""")
 def a20_ledger(spark, sf):
-    return rollup.ledger(_stored_items(spark, sf), _funnels(spark, sf), _health(spark, sf), RULES.labels)
+    scanned = _scanned(spark, sf)
+    items = scanned.where("stage = 'qualified'").drop("stage")
+    return rollup.ledger(items, select.funnel(scanned, v.SELECT, by=("scan_date",)), _health(spark, sf, scanned), RULES.labels)
 
 
 @query(f"""WITH {ITEMS_SQL}
@@ -311,13 +320,14 @@ def a11_graph_edges(spark, sf):
     return graph.graph_edges(_items(spark, sf), RULES.labels)
 
 
-@query(f"""WITH {ITEMS_SQL}, {_OBS_SQL}
+_GRAPH_SQL = f"""WITH {ITEMS_SQL}, {_OBS_SQL}
 SELECT 'node' AS part, id AS a, kind AS b, observations AS n, score FROM nodes WHERE kind <> 'artifact' OR id IN (SELECT id FROM kept)
 UNION ALL SELECT 'edge', source, target, weight, NULL FROM edges WHERE source IN (SELECT id FROM kept)
 UNION ALL SELECT 'artifact_count', '', '', count(*), NULL FROM nodes WHERE kind = 'artifact'
-UNION ALL SELECT 'days', '', '', count(DISTINCT scan_date), NULL FROM items""")
-def a12_build_graph(spark, sf):
-    nodes, edges, summary = graph.build_graph(_stored_items(spark, sf), RULES.labels, 50)
+UNION ALL SELECT 'days', '', '', count(DISTINCT scan_date), NULL FROM items"""
+
+
+def _graph_rows(nodes, edges, summary):
     none = F.lit(None).cast("double")
     blank = F.lit("")
     return (
@@ -328,11 +338,38 @@ def a12_build_graph(spark, sf):
     )
 
 
+@query(_GRAPH_SQL)
+def a12_build_graph(spark, sf):
+    return _graph_rows(*graph.build_graph(_stored_items(spark, sf), RULES.labels, 50))
+
+
+@query(_GRAPH_SQL)
+def a12_graph_from_partials(spark, sf):
+    """The same graph from one table of partial aggregates per scan date, of which some dates are written again."""
+    path, items = scratch(spark, "graph"), _stored_items(spark, sf)
+    graph.write_graph_partials(items.where("scan_date <= date '2024-01-20'"), RULES.labels, path)
+    graph.write_graph_partials(items.where("scan_date >= date '2024-01-15'"), RULES.labels, path)
+    return _graph_rows(*graph.graph_from_partials(spark, path, 50))
+
+
 @query(f"WITH {ITEMS_SQL}, {_OBS_SQL} SELECT * FROM edges WHERE source = 'topic:license' OR target = 'topic:license'")
 def a13_neighbours(spark, sf):
     return graph.neighbours(graph.graph_edges(_items(spark, sf), RULES.labels), "topic:license")
 
 
+@query(f"""WITH {ITEMS_SQL}
+SELECT 'topic' AS kind, source_id, total_score FROM items WHERE list_contains(categories, 'license')
+UNION ALL SELECT 'source', source_id, total_score FROM items WHERE source = 'src1'
+UNION ALL SELECT 'model_family', source_id, total_score FROM items WHERE list_contains(families, 'MIT')""")
+def a13_records_of_node(spark, sf):
+    """The records behind three context nodes of the graph."""
+    items, found = _stored_items(spark, sf), None
+    for kind, value in (("topic", "license"), ("source", "src1"), ("model_family", "MIT")):
+        hits = graph.records_of_node(items, kind, value).select(F.lit(kind).alias("kind"), "source_id", "total_score")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 @query(f"""WITH {ITEMS_SQL}, {_OBS_SQL}, few AS (SELECT id FROM nodes WHERE observations >= 3)
 SELECT * FROM edges WHERE source IN (SELECT id FROM few) AND target IN (SELECT id FROM few)""")
 def j8_retain_edges(spark, sf):
@@ -400,6 +437,14 @@ def t8_catalogue_list(spark, sf):
     return cat.catalogue_list(v.catalogue(spark, sf)).select("title", "url", "section", "published_at")
 
 
+@query(f"""WITH {CATALOGUE_SQL} SELECT title, url FROM catalogue
+WHERE lower(concat_ws(' ', title, summary, section, organization)) LIKE '%brand#2%'""")
+def f6_catalogue_search(spark, sf):
+    """The search of the catalogue: one needle over four fields."""
+    hits = select.facet_filter(v.catalogue(spark, sf), query="Brand#2", fields=("title", "summary", "section", "organizations"))
+    return hits.select("title", "url")
+
+
 @query(f"""WITH {CATALOGUE_SQL}
 SELECT k.i AS list_position, k.t AS title, url, position FROM (
   SELECT *, row_number() OVER (PARTITION BY title ORDER BY position) AS rn FROM catalogue) c
@@ -508,6 +553,42 @@ def s10_s11_snapshot_round_trip(spark, sf):
     return stored.groupBy("scan_date").agg(F.count("*").alias("items"), F.round(F.sum("total_score"), 2).alias("score_sum"))
 
 
+@query(_SNAPSHOT_SQL)
+def s10_documents_by_date(spark, sf):
+    """One nested JSON document per scan, written and read back."""
+    path = scratch(spark, "documents")
+    snapshots.write_documents(_items(spark, sf), path)
+    items, _, _ = snapshots.read_documents(spark, path)
+    return items.groupBy("scan_date").agg(F.count("*").alias("items"), F.round(F.sum("total_score"), 2).alias("score_sum"))
+
+
+@query(_SNAPSHOT_SQL)
+def s10_item_lines(spark, sf):
+    """One JSON line per item, by scan; half of the scans are written twice."""
+    path, items = scratch(spark, "lines"), _stored_items(spark, sf)
+    snapshots.write_item_lines(items, path)
+    snapshots.write_item_lines(items.where("scan_date >= date '2024-01-15'"), path)
+    rows = snapshots.read_item_lines(spark, path)
+    return rows.groupBy("scan_date").agg(F.count("*").alias("items"), F.round(F.sum("total_score"), 2).alias("score_sum"))
+
+
+@query("""
+SELECT 'documents' AS source_key, 7 AS files, 2 AS bad_files, (SELECT count(*) FROM documents WHERE source <> 'src0') AS item_count
+UNION ALL SELECT 'parts', (SELECT count(DISTINCT p_brand) FROM part), 0, (SELECT count(*) FROM part)""")
+def s12_unreadable_files(spark, sf):
+    """Two folders of files, in one of which two files are no Parquet at all: they cost their own rows."""
+    docs, parts, listed, counted = v.table(spark, sf, "documents").where("source <> 'src0'"), v.table(spark, sf, "part"), {}, None
+    folders = {key: scratch(spark, key) for key in ("documents", "parts")}
+    docs.select("doc_id", "source").repartition(5).write.parquet(folders["documents"])
+    spark.range(2).repartition(2).selectExpr("concat('not parquet ', id) AS value").write.mode("append").text(folders["documents"])
+    parts.select("p_partkey", "p_brand").repartition("p_brand").write.partitionBy("p_brand").parquet(folders["parts"])
+    for key, schema in (("documents", "doc_id bigint, source string"), ("parts", "p_partkey bigint")):
+        rows, listed[key] = registry.payload_files(spark, folders[key], schema)
+        one = rows.agg(F.count("*").alias("item_count")).withColumn("source_key", F.lit(key))
+        counted = one if counted is None else counted.unionByName(one)
+    return registry.file_health(listed).join(counted, "source_key").select("source_key", "files", "bad_files", "item_count")
+
+
 _BACKFILL_KEYED = v.KEYED_SQL.replace("keyed AS (", "all_keyed AS (") + """,
 keyed AS (SELECT * REPLACE (scan_date || dedupe_key AS dedupe_key) FROM all_keyed WHERE provenance = 'curated')"""
 _BACKFILL_SQL = (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import strings
 from ..functions.text import slug
+from ..plans.storage import stored
 from .dedupe import with_artifact_key
 from .match import label_of
 from .score import round2
@@ -86,10 +89,10 @@ def nodes_of(obs: DataFrame) -> DataFrame:
     )
 
 
-def edges_of(obs: DataFrame) -> DataFrame:
-    """Edges weighted by co-occurrence count."""
+def edges_of(obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges weighted by co-occurrence count, per group of ``by``."""
     linked = obs.where("relation is not null")
-    return linked.groupBy(F.col("artifact").alias("source"), F.col("id").alias("target"), "relation").agg(
+    return linked.groupBy(*by, F.col("artifact").alias("source"), F.col("id").alias("target"), "relation").agg(
         F.count("*").alias("weight")
     )
 
@@ -120,23 +123,69 @@ def top_artifacts(nodes: DataFrame, limit: int = 240) -> DataFrame:
     return artifacts.orderBy(F.desc("score"), F.desc("last_seen"), "id").limit(limit)
 
 
+def _published(nodes: DataFrame, max_artifacts: int) -> tuple[DataFrame, DataFrame]:
+    """(published nodes, ids of kept artifacts) of a stored table of nodes; the cap bounds the broadcast."""
+    kept = top_artifacts(nodes, max_artifacts)
+    ids = F.broadcast(kept.select(F.col("id").alias("artifact")))
+    return nodes.where("kind <> 'artifact'").unionByName(kept), ids
+
+
+def _summary(nodes: DataFrame, days: Column) -> DataFrame:
+    counts = nodes.agg(F.count_if(F.col("kind") == "artifact").alias("artifact_count"), F.count("*").alias("node_count"))
+    return counts.withColumn("generated_from_days", days)
+
+
 def build_graph(items: DataFrame, labels: dict[str, str], max_artifacts: int = 240) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, summary) of the published graph.
 
     All context nodes stay, artifacts are capped; ``artifact_count`` is taken before the cap.
-    Every edge ends in a context node, so the retained edges are those of kept artifacts.
+    Every edge ends in a context node, so the retained edges are those of kept artifacts. Nodes are aggregated once.
     """
     obs = observations(items, labels)
-    nodes = nodes_of(obs)
-    kept = top_artifacts(nodes, max_artifacts)
-    published = nodes.where("kind <> 'artifact'").unionByName(kept)
-    edges = edges_of(obs.join(kept.select(F.col("id").alias("artifact")), "artifact", "left_semi"))
-    days = items.agg(F.countDistinct("scan_date").alias("n")).scalar()
-    summary = nodes.agg(
-        F.count_if(F.col("kind") == "artifact").alias("artifact_count"),
-        F.count("*").alias("node_count"),
-    ).withColumn("generated_from_days", days)
-    return published, edges, summary
+    nodes = stored(nodes_of(obs), "nodes")
+    published, ids = _published(nodes, max_artifacts)
+    edges = edges_of(obs.join(ids, "artifact", "left_semi"))
+    return published, edges, _summary(nodes, items.agg(F.countDistinct("scan_date").alias("n")).scalar())
+
+
+def write_graph_partials(items: DataFrame, labels: dict[str, str], path: str) -> None:
+    """Writes the nodes and edges of each scan date in ``items`` by themselves, one partition per date.
+
+    A date that is written again is replaced, other dates stay: a new scan costs its own rows, not the history's.
+    """
+    obs = stored(observations(items, labels), "observations")
+    is_artifact = F.col("kind") == "artifact"
+    place = ["position", "seq"]
+    nodes = obs.groupBy("scan_date", "id", "kind").agg(
+        F.count("*").alias("observations"),
+        F.max("score").alias("score"),
+        F.min(F.struct(*place, "label", F.when(is_artifact, F.col("url")).alias("url"))).alias("first"),
+        F.max(F.struct(*place, F.when(is_artifact, F.col("provenance")).alias("provenance"))).alias("last"),
+    )
+    for name, table in (("nodes", nodes), ("edges", edges_of(obs, ["scan_date"]))):
+        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("scan_date").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def graph_from_partials(spark: SparkSession, path: str, max_artifacts: int = 240) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``build_graph`` gives over all dates of a ``write_graph_partials`` table, by merging the dates."""
+    dated = spark.read.parquet(f"{path.rstrip('/')}/nodes")
+    begin, end = F.struct("scan_date", "first.position", "first.seq"), F.struct("scan_date", "last.position", "last.seq")
+    nodes = dated.groupBy("id", "kind").agg(
+        F.min_by("first.label", begin).alias("label"),
+        F.sum("observations").alias("observations"),
+        round2(F.max("score")).alias("score"),
+        F.min("scan_date").alias("first_seen"),
+        F.max("scan_date").alias("last_seen"),
+        F.min_by("first.url", begin).alias("url"),
+        F.max_by("last.provenance", end).alias("provenance"),
+    )
+    nodes = stored(nodes, "nodes")
+    published, ids = _published(nodes, max_artifacts)
+    edges = spark.read.parquet(f"{path.rstrip('/')}/edges").join(ids.withColumnRenamed("artifact", "source"), "source", "left_semi")
+    edges = edges.groupBy("source", "target", "relation").agg(F.sum("weight").alias("weight"))
+    # The dates are names of partitions.
+    return published, edges, _summary(nodes, dated.agg(F.countDistinct("scan_date").alias("n")).scalar())
 
 
 def neighbours(edges: DataFrame, node_id: str) -> DataFrame:

@@ -111,13 +111,13 @@ def funnel(scored: DataFrame, config: SelectConfig = SelectConfig(), by: Sequenc
 
     Cap and limit are counted, not executed: a source with ``n`` qualified rows publishes
     ``min(n, cap)`` of them, and pinned rows always come first. Rows lost to the cap or the limit
-    appear in no bucket. Needs ``copies`` from the merge (1 when absent).
+    appear in no bucket. Needs ``copies`` from the merge (1 when absent); a ``stage`` from ``with_stage`` is used as it is.
     """
     copies = F.col("copies") if "copies" in scored.columns else F.lit(1)
     qualified = F.col("stage") == "qualified"
     cap = F.lit(config.max_items_per_source if config.max_items_per_source > 0 else 9223372036854775807)
     per_source = (
-        with_stage(scored, config)
+        (scored if "stage" in scored.columns else with_stage(scored, config))
         .groupBy(*by, "source")
         .agg(
             F.sum(copies).alias("fetched"),

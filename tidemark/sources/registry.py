@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import feeds, markdown
@@ -71,6 +72,37 @@ def collect_sources(
     return records, health
 
 
+def payload_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of a folder in which files may be unreadable.
+
+    Files are listed without being read; rows come from all that can be, with ``_file``. ``files`` has each
+    path with its bytes and rows, and ``ok``, which is false where a file gave no row at all; files of no bytes are not
+    listed. A broken file costs its own rows, and what it held before the break is kept.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("length").alias("bytes")
+    )
+    reader = spark.read.format(fmt).schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    rows = reader.options(**options).load(path).withColumn("_file", F.col("_metadata.file_path"))
+    counted = rows.groupBy("_file").agg(F.count("*").alias("rows"))
+    files = listed.join(counted, "_file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return rows, files.withColumn("ok", F.col("rows") > 0)
+
+
+def file_health(files: Mapping[str, DataFrame]) -> DataFrame:
+    """(source_key, files, bad_files, detail) from the file lists of several sources; ``detail`` names up to five bad files."""
+    named = None
+    for key, listed in files.items():
+        one = listed.select(F.lit(key).alias("source_key"), "_file", "ok")
+        named = one if named is None else named.unionByName(one)
+    counts = named.groupBy("source_key").agg(F.count("*").alias("files"), F.count_if(~F.col("ok")).alias("bad_files"))
+    # A top-k report: five names per source.
+    bad = named.where("NOT ok").select("source_key", F.regexp_extract("_file", "[^/]*$", 0).alias("name"))
+    few = bad.withColumn("_rn", F.row_number().over(W.partitionBy("source_key").orderBy("name"))).where("_rn <= 5")
+    detail = few.groupBy("source_key").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("detail"))
+    return counts.join(detail, "source_key", "left").withColumn("detail", F.coalesce("detail", F.lit("")))
+
+
 def collect_registered(
     spark: SparkSession, payloads: Mapping[str, DataFrame], now: Column, required: tuple[str, ...] = (),
     options: Mapping[str, Mapping[str, object]] | None = None,

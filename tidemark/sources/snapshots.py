@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import first_of
 from ..operators.quality import validate_snapshot
 from ..operators.score import round2
+from ..plans.storage import stored
 
 # Sizes of the list columns in a short published digest.
 DIGEST_CAPS = {"authors": 12, "artifact_urls": 8, "matched_terms": 16}
@@ -73,23 +74,21 @@ def public_json(df: DataFrame, extra: tuple[str, ...] = (), caps: dict[str, int]
 
 
 def write_snapshot(items: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Validate the scans in ``items`` (column ``scan_date``) and write one partition per date.
+    """Write, audit, publish: one partition per date in ``items`` (column ``scan_date``), if all of them are valid.
 
-    Writing a date again replaces that date and no other.
+    Rows are staged in the shared folder, so they are computed once and survive lost executors; the audit reads
+    the staged rows, and only rows that pass it reach ``path``. Writing a date again replaces that date and no other.
     """
-    kept = items.persist()
-    try:
-        problems = validate_snapshot(kept).limit(5).collect()
-        if problems:
-            raise SnapshotError("; ".join(f"{p['source']}:{p['source_id']} {p['violation']}" for p in problems))
-        # Rebalancing splits a date that holds most rows and packs small ones.
-        (
-            kept.hint("rebalance", F.col("scan_date"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scan_date").format(fmt).save(path)
-        )
-    finally:
-        kept.unpersist()
+    staged = stored(items, "staged")
+    problems = validate_snapshot(staged).limit(5).collect()
+    if problems:
+        raise SnapshotError("; ".join(f"{p['source']}:{p['source_id']} {p['violation']}" for p in problems))
+    # Rebalancing splits a date that holds most rows and packs small ones.
+    (
+        staged.hint("rebalance", F.col("scan_date"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("scan_date").format(fmt).save(path)
+    )
 
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
@@ -102,6 +101,35 @@ def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet", schema:
     return reader.load(path)
 
 
+def write_item_lines(items: DataFrame, path: str) -> None:
+    """One JSON document per item and line, in a folder per scan date: a form that splits over tasks at any size.
+
+    Writing a date again replaces that date and no other.
+    """
+    lines = public_projection(items, ("scan_date", "position"))
+    dated = lines.hint("rebalance", F.col("scan_date")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    dated.partitionBy("scan_date").json(path)
+
+
+def read_item_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a ``write_item_lines`` folder; a line that is no item is an error."""
+    return spark.read.schema(f"position bigint, {_ITEM}, scan_date date").option("mode", "FAILFAST").json(path)
+
+
+def write_documents(items: DataFrame, path: str) -> None:
+    """One nested JSON document per scan date, in the published form, for readers that want a file per date.
+
+    A date's items are one row, so this is for digests of bounded size; ``write_item_lines`` is for any size.
+    """
+    rows = public_projection(items, ("scan_date", "position"))
+    item = F.to_json(F.struct(*[c for c in rows.columns if c not in ("scan_date", "position")]))
+    listed = rows.groupBy("scan_date").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("i"))
+    head = F.format_string('{"schema_version":%d,"date":"%s","items":[', F.lit(SCHEMA_VERSION), F.col("scan_date").cast("string"))
+    document = F.concat(head, F.array_join("i.item", ","), F.lit("]}"))
+    writer = listed.select("scan_date", document.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scan_date").text(path)
+
+
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, health, funnels) from one nested JSON document per date.
 
