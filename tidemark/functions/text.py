@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,17 +117,18 @@ def truncate(text: Column, limit: int | None) -> Column:
     return let(text, cut)
 
 
-# Markdown and HTML constructs removed on the way to a summary, in order.
+# Markdown and HTML constructs removed on the way to a summary, in order, each with the strings of
+# which a text has one if the pattern can match at all.
 _MARKUP = (
-    (r"(?s)\A---" + SPACE + r"*\n.*?\n---" + SPACE + r"*\n", ""),
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?s)```.*?```", " "),
-    (r"!\[[^\]]*\]\([^)]*\)", " "),
-    (r"\[([^\]]*)\]\(([^)]*)\)", "$1"),
-    (r"<[^>]+>", " "),
-    (r"`([^`]*)`", "$1"),
-    (r"(?m)^" + SPACE + r"{0,3}#{1,6}" + SPACE + "*", ""),
-    (r"(\*\*|__|\*|_)", ""),
+    (r"(?s)\A---" + SPACE + r"*\n.*?\n---" + SPACE + r"*\n", "", ("---",)),
+    (r"(?s)<!--.*?-->", " ", ("<!--",)),
+    (r"(?s)```.*?```", " ", ("```",)),
+    (r"!\[[^\]]*\]\([^)]*\)", " ", ("![",)),
+    (r"\[([^\]]*)\]\(([^)]*)\)", "$1", ("](",)),
+    (r"<[^>]+>", " ", ("<",)),
+    (r"`([^`]*)`", "$1", ("`",)),
+    (r"(?m)^" + SPACE + r"{0,3}#{1,6}" + SPACE + "*", "", ("#",)),
+    (r"(\*\*|__|\*|_)", "", ("*", "_")),
 )
 _EDGE = " -*|#>\t"
 
@@ -136,9 +139,14 @@ def strip_markdown(text: Column, limit: int | None = None) -> Column:
     Paragraphs under 40 characters and left-over table rows are dropped. With a ``limit``, paragraphs
     are taken until their summed length passes it, then the result is cut at a word.
     """
+    def removed(pattern: str, replacement: str, marks: tuple[str, ...]) -> Callable[[Column], Column]:
+        # A search for a plain string costs a fraction of a pass of the pattern, and prose has few of them.
+        some = lambda plain: reduce(or_, [F.contains(plain, F.lit(m)) for m in marks])
+        return lambda plain: F.when(some(plain), F.regexp_replace(plain, pattern, replacement)).otherwise(plain)
+
     body = F.coalesce(text, F.lit(""))
-    for pattern, replacement in _MARKUP:
-        body = F.regexp_replace(body, pattern, replacement)
+    for step in _MARKUP:
+        body = let(body, removed(*step))
 
     def clean(chunk: Column) -> Column:
         return F.btrim(F.regexp_replace(chunk, UNICODE_SPACE + "+", " "), F.lit(_EDGE))
