@@ -24,6 +24,7 @@ RULES = RuleSet.from_config(
         "model_families": [{"name": "Claude", "aliases": ["claude opus"], "org": "Anthropic"}],
     }
 )
+# Two published records, whose scores are recomputed below.
 FIRST = dict(
     title="IMCBench",
     section="3. New Benchmarks",
