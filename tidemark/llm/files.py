@@ -8,7 +8,11 @@ import pyarrow.fs as pafs
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder or file named by a URI or an absolute path."""
+    """File system and path of a folder or file named by a URI or an absolute path.
+
+    An absolute path is one of the machine that opens it, so on a cluster it has to lie in the folder that all
+    executors share, as paths from ``scratch`` do.
+    """
     scheme = urlsplit(uri).scheme
     if scheme in ("", "file"):
         return pafs.LocalFileSystem(), "/" + urlsplit(uri).path.lstrip("/")
