@@ -1,9 +1,9 @@
 """Joins against per-key counts in which any key may hold a large share of the rows.
 
-Adaptive skew handling does not reach a join whose small side is an aggregate, so the split is
-written out (tried: a sort-merge join of the rows with the aggregate of the same rows, whose exchange
-is left as one reader per partition): keys that outweigh a partition are known from their counts, their rows are spread over
-salts, and only their count rows are repeated.
+Spark's adaptive rule splits skewed partitions only of joins whose inputs come straight from exchanges. A join
+with an aggregate has the aggregate in between and is left alone, so the split is written out: keys that
+outweigh a partition are known from their counts, their rows are spread over salts, and only their count
+rows are repeated.
 """
 
 from __future__ import annotations
