@@ -1,9 +1,8 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary labelled text; the toxic one is that dictionary behind a
-list of words (see the README for what this leaves out). A window that the toxic dictionary compresses
-shorter than the ordinary one speaks for toxicity; how far is calibrated on labelled texts that trained
-neither dictionary.
+One zstandard dictionary is trained on ordinary labelled texts, one on the windows of toxic texts that ordinary
+texts lack. A window that the toxic dictionary compresses shorter than the ordinary one speaks for
+toxicity; how far is calibrated on labelled texts that trained neither dictionary.
 
 Both dictionaries end in the same ordinary text, so on ordinary windows the lengths agree and their
 difference comes from what only the toxic one holds: the words that labelled toxic texts have in excess.
@@ -31,7 +30,9 @@ WINDOW_WORDS = 8
 #: Bytes of shared dictionary text before each window.
 CARRIER_BYTES = 32
 ORDINARY_BYTES = 24_000
-TOXIC_BYTES = 24_000
+TOXIC_BYTES = 16_000
+#: Bytes of the segments that zstandard picks from toxic windows, and of the runs it compares them by.
+SEGMENT_BYTES, RUN_BYTES = 32, 6
 #: The share of trained texts whose labels calibrate; they train no dictionary.
 CALIBRATION_PERCENT = 35
 
@@ -161,6 +162,29 @@ def _vector(features: tuple[float, ...]) -> list[float]:
     return [first, second, third, share, float(first >= 3), float(second >= 3)]
 
 
+def _toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
+    """What zstandard picks from the telling windows of toxic texts.
+
+    A window is a run of words that toxic texts have in excess; each copy-free text is one sample of them. Whole toxic
+    texts would fill the dictionary with what ordinary ones say as well. A zero byte after each word keeps its
+    ending, which ordinary words share, from matching with the next mark.
+    """
+    stems: dict[str, list[str]] = {}
+    for stem in _excess_words(toxic, ordinary):
+        stems.setdefault(stem[:LEAST_LETTERS], []).append(stem)
+    samples = []
+    for text in _without_copies(toxic):
+        words = [w for w in _WORD.findall(text.lower()) if any(w.startswith(s) for s in stems.get(w[:LEAST_LETTERS], ()))]
+        if words:
+            samples.append(b"".join(b"\n " + w[:MOST_LETTERS].encode() + b"\0" for w in words))
+    try:
+        return zstandard.train_dictionary(TOXIC_BYTES, samples, k=SEGMENT_BYTES, d=RUN_BYTES).as_bytes()
+    except zstandard.ZstdError:
+        # Too few samples to train on: they are the dictionary, without repeats.
+        words = dict.fromkeys(w for s in samples for w in s.split(b"\0") if w)
+        return b"".join(w + b"\0" for w in words)[-TOXIC_BYTES:]
+
+
 def train(rows: list[tuple[str, int]], seed: int = 7, share: float | None = None) -> ToxicityModel:
     """A model from (text, label) pairs. Without a text of either label it always gives their share.
 
@@ -180,9 +204,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7, share: float | None = None
         common = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()[-ORDINARY_BYTES // 2 :]
     except zstandard.ZstdError:
         common = b"".join(samples)[: ORDINARY_BYTES // 2] or b"\n "
-    # A zero byte after each word keeps its ending, which ordinary words share, from matching with the next mark.
-    excess = b"".join(b"\n " + w.encode() + b"\0" for w in _excess_words(parts[1], parts[0]))
-    toxic = excess[-TOXIC_BYTES:] + common
+    toxic = _toxic_dictionary(parts[1], parts[0]) + common
     scorer = Scorer(common, toxic)
     # Texts that trained the dictionaries would look too well separated, so only the others calibrate.
     fit = [(t, y) for (t, y), h in zip(rows, held) if h]
