@@ -202,7 +202,7 @@ def test_unreadable_files_cost_their_own_rows(spark, tmp_path):
 
 
 def test_item_lines_and_documents_hold_the_same_items(spark, tmp_path):
-    scored = run_scan(records(spark, [record(i, title=f"A title that is long enough {i}", venue="") for i in range(6)]), RULES, now()).scored
+    scored = run_scan(records(spark, [record(i, title=f"A title that is surely long enough {i}", venue="") for i in range(6)]), RULES, now()).scored
     dated = scored.withColumn("scan_date", F.date_add(F.lit("2026-07-01").cast("date"), (F.col("position") % 2).cast("int")))
     lines, nested = str(tmp_path / "lines"), str(tmp_path / "nested")
     snapshots.write_item_lines(dated, lines)
