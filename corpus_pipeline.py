@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, packing, quality, toxicity
@@ -13,17 +13,23 @@ from tidemark.plans.storage import broadcast_if_small, scratch, stored
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Rows as one column beside their text, so that no result column can clash with theirs."""
-    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), "text")
+    """All columns but the text as one beside it, so that no result column can clash with them and no text travels twice."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_row"), "text")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from what ``_rows`` made of them."""
+    return [F.col(quoted(c) if c == "text" else f"_row.{quoted(c)}").alias(c) for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score_toxicity(_rows(docs), toxicity_model(spark, docs, sf_dir), keep=["_row"])
-    return scored.where(F.col("score") < TOXIC_FROM).select("_row.*")
+    scored = toxicity.score_toxicity(_rows(docs), toxicity_model(spark, docs, sf_dir), keep=["_row", "text"])
+    return scored.where(F.col("score") < TOXIC_FROM).select(*_columns(docs))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(_rows(docs)).where("kept").select("_row.*")
+    return quality.apply_rules(_rows(docs)).where("kept").select(*_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +51,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     wordless = again.where(F.col("_key") == jaccard.NO_WORDS)
     named = again.where(F.col("_key") != jaccard.NO_WORDS).dropDuplicates(["_id", "_key"])
     named = named.join(first.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), ["_id", "_key"], "left_semi")
-    return kept.unionByName(named.select("_row.*")).unionByName(wordless.select("_row.*"))
+    return kept.unionByName(named.select(*_columns(docs))).unionByName(wordless.select(*_columns(docs)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scanned = decontaminate.decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
-    return scanned.where("n_hit = 0").select("_row.*")
+    scanned = decontaminate.decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), keep=["_row", "text"])
+    return scanned.where("n_hit = 0").select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, quality
+from tidemark.llm import common, decontaminate, licenses, quality, tokens
 from tidemark.llm.common import folded_word_spans, folded_words
 
 from . import brute
@@ -137,3 +138,24 @@ def test_clashing_columns_repeated_rows_and_empty_tables(spark, run):
     assert "n_words" in out.columns and "N_Words" not in out.columns and "extra col" in out.columns
     assert [r.n_words for r in out.collect()] == [3, 3]
     assert run(df.where("false")).count() == 0
+
+
+def test_kept_texts_travel_once_and_in_slices(spark):
+    long = "a word " * 200_000
+    df = spark.createDataFrame([(i, long if i % 2 else None) for i in range(8)], "doc_id long, text string").coalesce(1)
+    sizes = lambda: lambda batch: [[len(batch)] * len(batch)]
+    got = common.map_texts(df, "text", "beside int", sizes, keep=["text", "doc_id"])
+    assert got.columns == ["text", "doc_id", "beside"]
+    rows = got.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(i, long if i % 2 else None) for i in range(8)]
+    # 5.6 MB of text are two slices, and the task reads the text in one column.
+    assert {r.beside for r in rows} == {4}
+    read = got._jdf.queryExecution().optimizedPlan().children().head().children().head().output().toString()
+    assert read.count("text#") == 1
+
+
+def test_tokenizers_go_when_another_operator_runs():
+    first = tokens.chunked_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokens.chunked_tokenizer(public_tokenizers.path("word_bpe_49k.json")) is first
+    tokens.release()
+    assert tokens.chunked_tokenizer(public_tokenizers.path("word_bpe_49k.json")) is not first

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .tokens import release
+
 # ASCII upper case to lower case; every other ASCII character that is no letter or digit to a space.
 WORD_TABLE = bytes(
     b if b >= 0x80 or chr(b).isdigit() or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -18,6 +20,8 @@ WORD_TABLE = bytes(
 )
 #: White space that separates words in the space-split operators, as a Java and RE2 class.
 SPACES = r"\x20\x09-\x0D"
+#: Bytes of text that a task turns into Python objects at a time.
+PART_BYTES = 4 << 20
 
 
 def folded_words(text: bytes | None) -> list[bytes]:
@@ -60,6 +64,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
 
 
+def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``PART_BYTES`` of its text column each, so Python holds few texts at a time.
+
+    A batch has so many rows whatever their length. A slice shares the memory of its batch.
+    """
+    rows = -(-batch.num_rows // max(1, -(-batch.column(text).nbytes // PART_BYTES)))
+    for start in range(0, max(1, batch.num_rows), max(1, rows)):
+        yield batch.slice(start, rows)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -70,26 +84,34 @@ def map_texts(
     """``df`` with columns computed from one text column, an Arrow batch at a time.
 
     ``make`` is called once per task and gives the function from the texts of a batch to the result
-    columns. ``keep`` names the input columns that stay (default: all). An input column with the name
-    of a result column is replaced by it.
+    columns, each row by itself. ``keep`` names the input columns that stay (default: all); a text that stays
+    travels once. An input column with the name of a result column is replaced by it.
     """
     added = T.StructType.fromDDL(results)
     names = without(df, added.names)
     kept = names if keep is None else [c for c in keep if c in names]
     inward, outward = aside(kept)
-    source = df.select(*inward, F.col(quoted(text)).alias("text"))
-    schema = T.StructType(source.schema.fields[:-1] + list(added.fields))
+    if stays := text in kept:
+        # The column that the task reads is the one that stays.
+        at = kept.index(text)
+        del inward[at]
+        outward[at] = F.col("_text").alias(text)
+    source = df.select(*inward, F.col(quoted(text)).alias("_text"))
+    n = len(inward) + stays
+    schema = T.StructType(source.schema.fields[:n] + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         arrow = to_arrow_schema(added)
         work = make()
         for batch in batches:
-            found = work(text_bytes(batch.column(len(kept))))
-            yield pa.RecordBatch.from_arrays(
-                batch.columns[:-1] + [
-                    x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(found, arrow)
-                ],
-                names=schema.names,
-            )
+            for part in parts(batch, -1):
+                found = work(text_bytes(part.column(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    part.columns[:n] + [
+                        x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(found, arrow)
+                    ],
+                    names=schema.names,
+                )
 
     return source.mapInArrow(run, schema).select(*outward, *added.names)

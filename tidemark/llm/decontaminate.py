@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import stored
-from .common import aside, folded_word_spans, folded_words, quoted, text_bytes, without
+from .common import aside, folded_word_spans, folded_words, parts, quoted, text_bytes, without
 from .phrases import PhraseAutomaton
+from .tokens import release
 
 WINDOW = 10
 #: Bytes of item text in one automaton, which a worker holds in about 100 times that memory.
@@ -77,8 +78,9 @@ def _scan(rows: DataFrame, items: list[tuple[str | None, bytes]], window: int, f
     arrow = to_arrow_schema(T.StructType(schema.fields[-4:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         automaton = PhraseAutomaton((w, item) for item, t in shared.value for w in item_windows(folded_words(t), window))
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, -5)):
             *kept, texts, _, _, old_items, old_spans = batch.columns
             before = [([], [])] * len(texts) if first else zip(old_items.to_pylist(), old_spans.to_pylist())
             results = []
@@ -133,7 +135,13 @@ def decontaminate(
     left a stored table of its hits; a single item is never split.
     """
     names = T.StructType.fromDDL(RESULTS).names
-    inward, outward = aside([c for c in without(documents, names) if keep is None or c in keep])
+    kept = [c for c in without(documents, names) if keep is None or c in keep]
+    inward, outward = aside(kept)
+    if text in kept:
+        # The column that is scanned is the one that stays.
+        at = kept.index(text)
+        del inward[at]
+        outward[at] = F.col("_text").alias(text)
     empty = [F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"), F.array().cast("array<struct<start: long, end: long>>")]
     rows = documents.select(
         *inward, F.col(quoted(text)).alias("_text"), *[c.alias(n) for c, n in zip(empty, names)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
-from .common import quoted, text_bytes
+from .common import parts, quoted, text_bytes
 from .tokens import chunked_tokenizer
 
 WINDOW = 2048
@@ -82,7 +82,7 @@ def cut_pieces(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunked_tokenizer(tokenizer)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, 1)):
             out: list[tuple] = []
             for doc, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 ids = (encoder.encode(raw) if raw else b"") + last
