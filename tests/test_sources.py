@@ -4,6 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalog.payloads import inverted
 from tidemark.plans.scan import BoilerplateError, run_backfill, run_scan
 from tidemark.operators.select import SelectConfig
 from tidemark.rules import RuleSet
@@ -188,6 +189,18 @@ def test_snapshot_round_trip_replaces_only_its_date(spark, tmp_path):
     assert snapshots.read_snapshots(spark, path).count() == 7
 
 
+def test_inverted_words_are_made_inside_the_row(spark):
+    texts = ["b a b  c a b", "", "one", " ".join(f"w{i % 700}" for i in range(20_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made = df.select("doc_id", inverted(F.split("text", " ")).alias("index"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in made.collect():
+        want = {}
+        for at, word in enumerate(texts[r.doc_id].split(" ")):
+            want.setdefault(word, []).append(at)
+        assert r["index"] == want
+
+
 def test_unreadable_files_cost_their_own_rows(spark, tmp_path):
     folder = tmp_path / "in"
     spark.range(60).repartition(3).write.parquet(str(folder))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import squash as text
 from ..sources import feeds, markdown
 from . import views as v
@@ -53,6 +54,26 @@ def _docs(spark, sf) -> DataFrame:
     )
 
 
+def inverted(words: Column) -> Column:
+    """A ``map<word, places>`` of a list of words, made inside the row.
+
+    (word, place) pairs are sorted, and where the word changes an entry begins.
+    """
+    def entries(pairs: Column, starts: Column) -> Column:
+        def entry(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(pairs))
+            places = F.transform(F.slice(pairs, start + 1, end - start), lambda p: p["at"])
+            return F.struct(F.get(pairs, start)["word"].alias("key"), places.alias("value"))
+
+        return F.map_from_entries(F.transform(starts, entry))
+
+    def grouped(pairs: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(pairs, i)["word"] != F.get(pairs, i - 1)["word"])
+        return let(F.filter(F.transform(pairs, lambda _, i: i), first), lambda starts: entries(pairs, starts))
+
+    return let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))), grouped)
+
+
 def _now():
     return F.lit(NOW).cast("timestamp")
 
@@ -219,21 +240,16 @@ def s7_scholar_records(spark, sf):
 SELECT 'W' || doc_id AS source_id, title, sha256(flat) AS summary_hash, 'Ada' AS authors, 'Uni ' || lang || '|Lab' AS organizations,
   source AS venue FROM docs WHERE title <> ''""")
 def s8_works_records(spark, sf):
-    docs = _docs(spark, sf)
-    words = docs.select("doc_id", F.posexplode(F.split(text(F.col("text")), " ")).alias("at", "word"))
-    # Groups are one text's words: (text, word) first, then the map of the text.
-    placed = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
     named = lambda c: F.struct(c.alias("display_name"))
     work = F.struct(
         F.concat(F.lit("https://openalex.org/W"), F.col("doc_id").cast("string")).alias("id"), F.col("title").alias("display_name"),
-        F.col("index").alias("abstract_inverted_index"),
+        inverted(F.split(text(F.col("text")), " ")).alias("abstract_inverted_index"),
         F.array(
             F.struct(named(F.lit("Ada")).alias("author"), F.array(named(F.concat(F.lit("Uni "), "lang")), named(F.lit("Lab")), named(F.lit("Lab"))).alias("institutions"))
         ).alias("authorships"),
         F.struct(named(F.col("source")).alias("source")).alias("primary_location"),
     )
-    payloads = _payloads(docs.join(index, "doc_id"), F.to_json(F.struct(F.array(work).alias("results"))), query=F.lit("q"))
+    payloads = _payloads(_docs(spark, sf), F.to_json(F.struct(F.array(work).alias("results"))), query=F.lit("q"))
     records = feeds.works_records(payloads, _now())
     return records.select(
         "source_id", "title", F.sha2("summary", 256).alias("summary_hash"), F.array_join("authors", "|").alias("authors"),
