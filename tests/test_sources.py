@@ -189,6 +189,18 @@ def test_snapshot_round_trip_replaces_only_its_date(spark, tmp_path):
     assert snapshots.read_snapshots(spark, path).count() == 7
 
 
+def test_staged_rows_are_written_several_times(spark, tmp_path):
+    path, items = str(tmp_path / "snap"), published(spark)
+    both = items.unionByName(items.withColumn("scan_date", F.lit(date(2026, 7, 29))))
+    staged = snapshots.stage_snapshot(both)
+    snapshots.write_snapshot(staged, path, staged=True)
+    snapshots.write_snapshot(staged.where("scan_date = date '2026-07-29'").limit(3), path, staged=True)
+    counts = {str(r["scan_date"]): r["count"] for r in snapshots.read_snapshots(spark, path).groupBy("scan_date").count().collect()}
+    assert counts == {"2026-07-28": 5, "2026-07-29": 3}
+    with pytest.raises(snapshots.SnapshotError):
+        snapshots.write_snapshot(staged.withColumn("title", F.lit("")), path, staged=True)
+
+
 def test_inverted_words_are_made_inside_the_row(spark):
     texts = ["b a b  c a b", "", "one", " ".join(f"w{i % 700}" for i in range(20_000))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

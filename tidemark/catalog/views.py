@@ -70,13 +70,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("view", "downloads"), ("click", "likes"), ("purchase", "stars"), ("signup", "upvotes"), ("error", "unknown"),
         ) for x in pair]
     )
-    timed = (
-        documents.withColumn("event_id", (F.col("doc_id") * 37) % n_events)
+    # What belongs to an id is joined without the texts, which then meet it in one shuffle.
+    beside = (
+        documents.select("doc_id").distinct()
+        .withColumn("event_id", (F.col("doc_id") * 37) % n_events)
         .withColumn("page_id", F.col("doc_id") % n_pages)
         .join(events.select("event_id", "ts", "event_type", "value"), "event_id")
         .join(pages.select("page_id", "url"), "page_id")
         .join(labels.select("doc_id", F.lit(True).alias("_labelled")).distinct(), "doc_id", "left")
     )
+    timed = documents.join(beside, "doc_id")
     empty = F.array().cast("array<string>")
     return timed.select(
         "source",

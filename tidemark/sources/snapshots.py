@@ -73,22 +73,28 @@ def public_json(df: DataFrame, extra: tuple[str, ...] = (), caps: dict[str, int]
     return projected.select(*extra, F.to_json(F.struct(*[c for c in projected.columns if c not in extra])).alias("item"))
 
 
-def write_snapshot(items: DataFrame, path: str, fmt: str = "parquet") -> None:
+def stage_snapshot(items: DataFrame) -> DataFrame:
+    """``items`` in the shared folder, computed once and arranged by date: the only shuffle of a snapshot.
+
+    Rebalancing splits a date that holds most rows and packs small ones.
+    """
+    return stored(items.hint("rebalance", F.col("scan_date")), "staged")
+
+
+def write_snapshot(items: DataFrame, path: str, fmt: str = "parquet", staged: bool = False) -> None:
     """Write, audit, publish: one partition per date in ``items`` (column ``scan_date``), if all of them are valid.
 
     Rows are staged in the shared folder, so they are computed once and survive lost executors; the audit reads
     the staged rows, and only rows that pass it reach ``path``. Writing a date again replaces that date and no other.
+    Rows of ``stage_snapshot``, or a part of them, are ``staged`` already; they may be written several times.
     """
-    staged = stored(items, "staged")
-    problems = validate_snapshot(staged).limit(5).collect()
+    rows = items if staged else stage_snapshot(items)
+    problems = validate_snapshot(rows).limit(5).collect()
     if problems:
         raise SnapshotError("; ".join(f"{p['source']}:{p['source_id']} {p['violation']}" for p in problems))
-    # Rebalancing splits a date that holds most rows and packs small ones.
-    (
-        staged.hint("rebalance", F.col("scan_date"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("scan_date").format(fmt).save(path)
-    )
+    # Staged files hold few dates each, so a task writes few files without another shuffle.
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scan_date").format(fmt).save(path)
 
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
