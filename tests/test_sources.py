@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.catalog.payloads import inverted
+from tidemark.operators.quality import validate_snapshot
 from tidemark.plans.scan import BoilerplateError, run_backfill, run_scan
 from tidemark.operators.select import SelectConfig
 from tidemark.rules import RuleSet
@@ -201,6 +202,13 @@ def test_staged_rows_are_written_several_times(spark, tmp_path):
         snapshots.write_snapshot(staged.withColumn("title", F.lit("")), path, staged=True)
 
 
+def test_validation_computes_rows_once(spark):
+    items = published(spark).withColumn("title", F.concat(F.lit("computed here "), F.col("title")))
+    found = validate_snapshot(items.unionByName(items.limit(1)))
+    assert "computed here" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["violation"] for r in found.collect()] == ["duplicate item"]
+
+
 def test_inverted_words_are_made_inside_the_row(spark):
     texts = ["b a b  c a b", "", "one", " ".join(f"w{i % 700}" for i in range(20_000))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")

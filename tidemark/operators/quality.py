@@ -42,7 +42,8 @@ def validate_snapshot(items: DataFrame, required: Sequence[str] = ("source", "so
     """Violations of the snapshot contract: (scan_date, source, source_id, violation).
 
     Fields present, one category at least, scores within 0-100, known provenance, and one row
-    per (source, source_id) within a scan.
+    per (source, source_id) within a scan. Keys and violations of each row are stored first, so the rows are
+    computed once, however they are made.
     """
     types = dict(items.dtypes)
     rules: list[Column] = [F.when(F.col("scan_date").isNull(), F.lit("missing date"))]
@@ -53,8 +54,9 @@ def validate_snapshot(items: DataFrame, required: Sequence[str] = ("source", "so
     rules.append(F.when(~F.col("total_score").between(0, 100), F.lit("score out of range")))
     rules.append(F.when(~F.col("provenance").isin("live", "curated"), F.lit("unknown provenance")))
     keys = ["scan_date", "source", "source_id"]
-    per_row = items.select(*keys, F.explode(F.array_compact(F.array(*rules))).alias("violation"))
-    repeated = items.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    checked = stored(items.select(*keys, F.array_compact(F.array(*rules)).alias("_found")), "checked")
+    per_row = checked.select(*keys, F.explode("_found").alias("violation"))
+    repeated = checked.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     return per_row.unionByName(repeated.select(*keys, F.lit("duplicate item").alias("violation")))
 
 
